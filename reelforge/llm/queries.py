@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_bpe, simhash
+from . import langid, mixing, pii, piece_bpe, secrets, simhash
 from .common import prepare, table
 
 
+#: Key of the registered pseudonym query; a deployment passes its own.
+PII_KEY = b"reelforge registered query"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str, key: bytes = PII_KEY) -> DataFrame:
+    found = pii.pseudonymise(table(spark, sf_dir, "documents"), key)
+    counts = [F.size(F.filter(pii.SPANS, lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in ("email", "ip", "phone", "card", "iban", "ssn", "date")]
+    return found.select("doc_id", "text", *counts)
+
+
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
@@ -30,10 +40,29 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     return digests(piece_bpe.tokenise(table(spark, sf_dir, "documents"), model_path or tokenizer_path()))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.remainder() == 2, F.lit(False))
+    model = langid.fit(docs.filter(~held_out))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, most=3)
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda t: t["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    every = F.array_sort(F.concat("base", "random"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.text_of("base"), 256).alias("base_sha256"), secrets.text_of(every).alias("spans"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(prepare(spark), sf_dir, "documents"), shingle=3, max_bits=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sentencepiece, op8_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_sentencepiece, op5_langid, op6_mixing, op7_secrets, op8_simhash)}
 ORACLES: dict[str, str] = {}
