@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pii, piece_bpe, secrets, simhash
+from . import langid, mixing, pii, piece_bpe, secrets, simhash, substring_dedup
 from .common import prepare, table
 
 
@@ -40,6 +40,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     return digests(piece_bpe.tokenise(table(spark, sf_dir, "documents"), model_path or tokenizer_path()))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(langid.remainder() == 2, F.lit(False))
@@ -64,5 +69,5 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_sentencepiece, op5_langid, op6_mixing, op7_secrets, op8_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_sentencepiece, op4_substring_dedup, op5_langid, op6_mixing, op7_secrets, op8_simhash)}
 ORACLES: dict[str, str] = {}
