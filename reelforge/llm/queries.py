@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pii, piece_bpe, secrets, simhash, substring_dedup
+from . import ann, langid, mixing, pii, piece_bpe, secrets, simhash, substring_dedup, vector_dedup
 from .common import prepare, table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 #: Key of the registered pseudonym query; a deployment passes its own.
 PII_KEY = b"reelforge registered query"
 
@@ -69,5 +73,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_sentencepiece, op4_substring_dedup, op5_langid, op6_mixing, op7_secrets, op8_simhash)}
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann, op2_pii, op3_sentencepiece, op4_substring_dedup, op5_langid, op6_mixing, op7_secrets, op8_simhash, op10_vector_dedup)}
 ORACLES: dict[str, str] = {}
