@@ -134,5 +134,5 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     times = mix(docs, **parameters).filter("size > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times"))
     times = times.filter("_times > 0").groupBy("_id").agg(F.min("_times").alias("_times"))
     names = docs.columns
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).filter(word_count() > 0)
+    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, pii, piece_bpe, secrets, simhash, substring_dedup, vector_dedup
+from . import ann, langid, mixing, pii, piece_bpe, quality, secrets, simhash, substring_dedup, vector_dedup
 from .common import prepare, table
 
 
+def count_kind(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda span: span["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -63,9 +67,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
-    count = lambda kind: F.size(F.filter("base", lambda t: t["kind"] == kind)).cast("long").alias(f"n_{kind}")
     every = F.array_sort(F.concat("base", "random"))
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.text_of("base"), 256).alias("base_sha256"), secrets.text_of(every).alias("spans"))
+    return found.select("doc_id", *[count_kind("base", kind) for kind in ("assign", "access", "hex")], F.sha2(secrets.text_of("base"), 256).alias("base_sha256"), secrets.text_of(every).alias("spans"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +76,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter("quality is not null")
+    good = labels.filter("quality = 1")
+    share = good.count() / max(1, labels.count())  # as many as the labels call good
+    return quality.select(table(spark, sf_dir, "documents"), good.select("doc_id"), share)
+
+
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann, op2_pii, op3_sentencepiece, op4_substring_dedup, op5_langid, op6_mixing, op7_secrets, op8_simhash, op10_vector_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann, op2_pii, op3_sentencepiece, op4_substring_dedup, op5_langid, op6_mixing, op7_secrets, op8_simhash, op9_quality, op10_vector_dedup)}
 ORACLES: dict[str, str] = {}

@@ -13,9 +13,10 @@ each (two such errors in two segments would make four).  So the pairs
 if segment 1 or 2 has two errors or more, the other two have one error together.
 Every pair at distance 3 or less is therefore found; the rest is removed by the
 verification.  For looser links (``max_bits`` above 3) the guarantee ends, and
-``anchors`` adds keys: a document's smallest shingle hashes under several
-seeds, each refined by a Golay key of the whole fingerprint, so that a passage
-that a third of all documents share doesn't gather them in one bucket.
+``anchors`` sets other keys: a document's smallest shingle hashes under several
+seeds, each with the Golay codewords of its own 16-bit segment of a longer
+fingerprint, so that a passage that a third of all documents share doesn't
+gather them in one bucket.
 
 Buckets are matched in bounded blocks and give spanning forests, not pairs.
 """
@@ -37,6 +38,8 @@ from .graph import components
 GOLAY_POLY = 0b101011100011
 #: Segments as (shift, bits).
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
+#: Bits of the segment that goes with an anchor.
+ANCHOR_BITS = 16
 #: Index rows of one key that one block may hold.
 BLOCK = 4096
 #: Pairs that a kernel compares at once.
@@ -78,10 +81,10 @@ def decoder() -> np.ndarray:
     return _DECODER[0]
 
 
-def near_codes(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def near_codes(segment: np.ndarray, bits: int = 23) -> tuple[np.ndarray, np.ndarray]:
     """(row, codeword) for all distinct codewords within one flipped bit."""
     table = decoder()
-    around = np.stack([table[segment]] + [table[segment ^ np.uint32(1 << i)] for i in range(23)], axis=1)
+    around = np.stack([table[segment]] + [table[segment ^ np.uint32(1 << i)] for i in range(bits)], axis=1)
     around.sort(axis=1)
     first = np.ones(around.shape, dtype=bool)
     first[:, 1:] = around[:, 1:] != around[:, :-1]
@@ -103,11 +106,8 @@ def _pack(family: int, *parts: np.ndarray) -> np.ndarray:
 def fuzzy_keys(fp: np.ndarray, anchors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, key, is_query) of all keys of the fingerprints.
 
-    anchors: None, or for each fingerprint its anchor hashes as (rows, k).
+    anchors: None, or (rows, 2 k): k anchor hashes, then the k segments.
     """
-    table, parts = decoder(), segments(fp)
-    plain = [table[part] for part in parts]
-    near = [near_codes(part) for part in parts]
     every = np.arange(len(fp))
     rows, keys, sides = [], [], []
 
@@ -116,12 +116,18 @@ def fuzzy_keys(fp: np.ndarray, anchors: np.ndarray | None = None) -> tuple[np.nd
         keys.append(key)
         sides.append(np.full(len(row), query, dtype=bool))
 
+    table = decoder()
     if anchors is not None:
-        for k in range(anchors.shape[1]):
-            row, code = near[k % 2]
-            put(every, _pack(16 + k, anchors[:, k], plain[k % 2]), False)
+        half = anchors.shape[1] // 2
+        for k in range(half):
+            segment = anchors[:, half + k].astype(np.uint32)
+            row, code = near_codes(segment, ANCHOR_BITS)
+            put(every, _pack(16 + k, anchors[:, k], table[segment]), False)
             put(row, _pack(16 + k, anchors[row, k], code), True)
         return np.concatenate(rows), np.concatenate(keys), np.concatenate(sides)
+    parts = segments(fp)
+    plain = [table[part] for part in parts]
+    near = [near_codes(part) for part in parts]
     put(every, _pack(0, plain[0], plain[1]), False)
     (row0, code0), (row1, code1) = near[0], near[1]
     counts = np.bincount(row1, minlength=len(fp))
@@ -177,12 +183,17 @@ def _fingerprints(shingle: int, anchors: int):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             fps = np.zeros(len(texts), dtype=np.uint64)
-            lows = np.zeros((len(texts), anchors), dtype=np.uint64)
+            lows = np.zeros((len(texts), 2 * anchors), dtype=np.uint64)
+            each = 64 // ANCHOR_BITS
             for i, text in enumerate(texts):
                 hashes = shingle_hashes(text, shingle)
                 fps[i] = fingerprint(hashes)
+                longer = 0
                 for k in range(anchors if len(hashes) else 0):
                     lows[i, k] = mix64(hashes ^ seeds[k]).min()
+                    if k % each == 0:  # further words of the fingerprint from mixed hashes
+                        longer = int(fps[i]) if k == 0 else fingerprint(mix64(hashes + seeds[k]))
+                    lows[i, anchors + k] = longer >> ANCHOR_BITS * (k % each) & (1 << ANCHOR_BITS) - 1
             columns = [batch.column("doc_id"), pa.array(fps.view(np.int64))]
             names = ["doc_id", "fp"]
             if anchors:
@@ -352,18 +363,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, anchor
     return each.select("doc_id", "fp").join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors: int = 8) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors: int = 12) -> DataFrame:
     """Documents with one row of each near-duplicate group kept.
 
     SimHash estimates the cosine of shingle multisets as cos(pi * bits / 64);
     texts link when that reaches ``similarity`` (0.8: 13 bits or fewer).  Kept
-    is the row with the smallest doc_id of its group; of rows that repeat it,
-    one.  Texts without words aren't compared and stay.  All columns stay.
+    is the row with the smallest doc_id of its group; rows that repeat a doc_id
+    are one document and share its fate.  Texts without words aren't compared
+    and stay.  All columns stay.
     """
     max_bits = int(np.floor(np.arccos(similarity) / np.pi * 64))
     spark = prepare(docs.sparkSession)
     worded = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     found = near_duplicates(worded, shingle, max_bits, anchors).select("doc_id", "component_id").distinct()
     found = Scratch(spark, "keep-one").put(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    left = docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
-    return left.dropDuplicates(["doc_id", "text"])
+    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
