@@ -89,6 +89,6 @@ def test_keep_one(spark):
 
 
 def test_components_of_chains_and_stars(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (300, 200), (None, 5)]
+    edges = [(i, i + 1) for i in range(15)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (300, 200), (None, 5)]
     got = dict(map(tuple, graph.components(spark, spark.createDataFrame(edges, "u long, v long")).collect()))
-    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 300: 200}
+    assert got == {i: 0 for i in range(16)} | {100 + i: 100 for i in range(30)} | {200: 200, 300: 200}
