@@ -87,4 +87,25 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann, op2_pii, op3_sentencepiece, op4_substring_dedup, op5_langid, op6_mixing, op7_secrets, op8_simhash, op9_quality, op10_vector_dedup)}
-ORACLES: dict[str, str] = {}
+
+#: The same results where SQL can express them: every window and every pair.
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": r"""
+WITH listed AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(range(0, len(ws))) AS i, unnest(ws) AS word FROM listed),
+starts AS (SELECT doc_id, i, word, CASE WHEN count(*) OVER w = 35 THEN string_agg(word, ' ') OVER w END AS passage
+    FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+repeated AS (SELECT passage FROM starts WHERE passage IS NOT NULL GROUP BY passage HAVING count(*) > 1),
+marked AS (SELECT doc_id, i, word, coalesce(bool_or(r.passage IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS gone
+    FROM starts s LEFT JOIN repeated r ON s.passage = r.passage),
+sums AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY doc_id)
+SELECT l.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM listed l LEFT JOIN sums USING (doc_id)""",
+    "op10_vector_dedup": r"""
+WITH RECURSIVE sound AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lows AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, least(e.vec_id, coalesce(low, e.vec_id)) AS component_id, least(e.vec_id, coalesce(low, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN lows ON lows.a = e.vec_id""",
+}
