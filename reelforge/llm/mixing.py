@@ -31,6 +31,11 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def drawn(prefix: str, *columns: str) -> Column:
+    """md5 of a prefix and values, as text to order by; a null is an empty text."""
+    return F.md5(F.concat(F.lit(prefix), F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])))
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
     """sid, weight, target from (source, source_size): caps fill like water.
 
@@ -93,9 +98,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     dealt = seats(aimed, "target", "blocks", ["one"], "sid").withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("docs") / SHARD_DOCS))).cast("int"))
     dealt = scratch.put(dealt.select("sid", "source", "source_size", "target", "block", "seats", "shards"))
 
-    seeded = F.xxhash64(F.lit(seed), "doc_id")
+    seeded = drawn(f"{seed}:", "doc_id")
     placed = sized.join(dealt.select(F.col("source").alias("_source"), "sid", "shards"), F.col("source").eqNullSafe(F.col("_source"))).select(
-        "sid", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "doc_id"), F.col("shards")).cast("int").alias("shard"), "doc_id", "size", seeded.alias("seeded")
+        "sid", (F.conv(F.substring(drawn(f"{seed}:shard:", "doc_id"), 1, 8), 16, 10).cast("long") % F.col("shards")).cast("int").alias("shard"), "doc_id", "size", seeded.alias("seeded")
     )
     cells = placed.groupBy("sid", "shard").agg(F.sum("size").alias("words")).join(dealt.select("sid", "block", "source_size", "target", F.col("seats").alias("source_seats")), "sid")
     cells = seats(cells, "words", "source_seats", ["sid"], "shard")
@@ -107,7 +112,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     laid = placed.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("size"))
     laid = scratch.put(laid.select("sid", "shard", "doc_id", "size", "start", "end"))
 
-    row = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(seed), "sid", "shard", "number"), "number")
+    row = Window.partitionBy("sid", "shard").orderBy(drawn(f"{seed}:block:", "sid", "shard", "number"), "number")
     cut = cells.filter("rest > 0").withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / F.col("block")))))
     cut = cut.withColumn("length", F.least("block", F.col("words") - F.col("number") * F.col("block")))
     cut = cut.withColumn("before", F.sum("length").over(row.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))

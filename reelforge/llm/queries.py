@@ -100,6 +100,32 @@ marked AS (SELECT doc_id, i, word, coalesce(bool_or(r.passage IS NOT NULL) OVER
     FROM starts s LEFT JOIN repeated r ON s.passage = r.passage),
 sums AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY doc_id)
 SELECT l.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM listed l LEFT JOIN sums USING (doc_id)""",
+    "op6_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(sid - 1) % 3 + 1] AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM src),
+o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+c AS (SELECT *, cap * rest <= (total - before) * weight AS capped FROM o),
+t AS (SELECT *, CASE WHEN capped THEN cap::DOUBLE ELSE (weight * (total - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0)))::DOUBLE / sum(CASE WHEN NOT capped THEN weight END) OVER () END AS target, CAST(greatest(1, least(4096, total // 100000)) AS BIGINT) AS b FROM c),
+m AS (SELECT *, CAST(round(total / b) AS BIGINT) AS blocks, CAST(greatest(1, least(4096, ceil(docs / 2000.0))) AS INT) AS shards FROM t),
+q AS (SELECT sid, blocks, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, sid, k) AS r FROM (SELECT *, unnest(range(0, CAST(2 * target / b AS BIGINT) + 60)) AS k FROM m WHERE target > 0)),
+seats AS (SELECT sid, count(*) AS seats FROM q WHERE r <= blocks GROUP BY sid),
+placed AS (SELECT m.sid, CAST(('0x' || substring(md5('42:shard:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT % shards AS INT) AS shard, doc_id, size, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source),
+cells AS (SELECT p.sid, shard, CAST(sum(size) AS BIGINT) AS words, any_value(m.b) AS b, any_value(source_size) AS source_size, any_value(target) AS target, any_value(coalesce(seats, 0)) AS source_seats FROM placed p JOIN m ON p.sid = m.sid LEFT JOIN seats s ON p.sid = s.sid GROUP BY p.sid, shard),
+q2 AS (SELECT sid, shard, source_seats, row_number() OVER (PARTITION BY sid ORDER BY words / (2 * k + 1) DESC, shard, k) AS r FROM (SELECT *, unnest(range(0, CAST(2.0 * source_seats * words / source_size AS BIGINT) + 60)) AS k FROM cells WHERE words > 0)),
+seats2 AS (SELECT sid, shard, count(*) AS seats FROM q2 WHERE r <= source_seats GROUP BY sid, shard),
+quotas AS (SELECT c.*, least(coalesce(seats, 0) * b, 3 * words) AS quota, CASE WHEN words > 0 THEN least(coalesce(seats, 0) * b, 3 * words) // words ELSE 0 END AS passes FROM cells c LEFT JOIN seats2 USING (sid, shard)),
+rests AS (SELECT *, quota - passes * words AS left_over FROM quotas),
+cut AS (SELECT *, unnest(range(0, (words - 1) // b + 1)) AS number FROM rests WHERE left_over > 0),
+sized AS (SELECT *, least(b, words - number * b) AS length FROM cut),
+ranked AS (SELECT *, sum(length) OVER (PARTITION BY sid, shard ORDER BY md5('42:block:' || sid || ':' || shard || ':' || number), number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length AS filled FROM sized),
+chosen AS (SELECT sid, shard, number, number * b AS lo, number * b + least(length, left_over - filled) AS hi FROM ranked WHERE filled < left_over),
+laid AS (SELECT *, CAST(sum(size) OVER (PARTITION BY sid, shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stop FROM placed),
+spans AS (SELECT l.*, stop - size AS start, b FROM laid l JOIN cells USING (sid, shard)),
+covering AS (SELECT sid, shard, start, stop, unnest(range(start // b, (stop - 1) // b + 1)) AS number FROM spans WHERE size > 0),
+extra AS (SELECT sid, shard, start, sum(greatest(0, least(stop, hi) - greatest(start, lo))) AS extra FROM covering JOIN chosen USING (sid, shard, number) GROUP BY sid, shard, start)
+SELECT s.doc_id, CAST(s.size AS BIGINT) AS size, r.source_size, r.target, CAST(CASE WHEN s.size > 0 THEN r.passes * s.size + coalesce(extra, 0) ELSE 0 END AS BIGINT) AS taken
+FROM spans s JOIN rests r USING (sid, shard) LEFT JOIN extra e ON s.sid = e.sid AND s.shard = e.shard AND s.start = e.start""",
     "op10_vector_dedup": r"""
 WITH RECURSIVE sound AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
     WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
