@@ -26,7 +26,7 @@ def merge_sources(sources: dict[str, DataFrame], row_order: str, key: str) -> Da
 
 def renumber(rows: DataFrame, *order: str, key: str) -> DataFrame:
     """Ids key_000000, key_000001, ... in an order."""
-    return ordinal(rows.drop("id"), *order, name="_at").withColumn("id", F.format_string(f"{key}_%06d", F.col("_at"))).drop("_at")
+    return ordinal(rows, *order, name="_at").withColumn("id", F.format_string(f"{key}_%06d", F.col("_at"))).drop("_at")
 
 
 def merge_shards(shards: list[DataFrame], key: str, position: str) -> DataFrame:

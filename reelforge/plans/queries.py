@@ -11,6 +11,7 @@ from ..functions import prompts as P
 from ..functions import scores as S
 from ..functions.draws import coin, draw
 from ..operators import generators, joins, mining, objects, reports, rows, sets, splits, windows
+from . import recipes
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -820,3 +821,95 @@ def coin_balance(spark, sf_dir):
 @query("drawn_order", "SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id || ':shuffle'), doc_id) - 1 AS place FROM documents")
 def drawn_order(spark, sf_dir):
     return windows.ordinal(T.table(spark, sf_dir, "documents").select("doc_id", draw(0, "doc_id", "shuffle").alias("h")), "h", "doc_id", name="place").drop("h")
+
+
+# -- recipes --------------------------------------------------------------------------
+
+
+def _samples(spark, sf_dir):
+    docs = T.table(spark, sf_dir, "documents")
+    frame = lambda k: P.text("w/", F.col("doc_id"), f"/{k}.png")
+    task = F.array(F.lit("maze"), F.lit("stable_sort"), F.lit("grid_shift"))[(F.col("doc_id") % 3).cast("int")]
+    parameters = P.text('{"grid_size": ', F.col("doc_id") % 9, ', "direction": "left", "steps": 3, "color": [255, 160, 0]}')
+    return docs.select(F.col("doc_id").alias("window_id"), task.alias("task_name"), F.lit("Spatiality").alias("category"), F.array(*[frame(k) for k in range(4)]).alias("frames"), parameters.alias("raw_parameters"))
+
+
+SAMPLES = """samples AS (SELECT doc_id AS window_id, ['maze', 'stable_sort', 'grid_shift'][doc_id % 3 + 1] AS task_name, 'w/' || doc_id || '/' AS stem FROM documents)"""
+
+
+@query(
+    "synthetic_rows",
+    f"""WITH {SAMPLES}, r AS (SELECT *, substring(md5('0:' || window_id || ':direction'), 1, 1) < '8' AS back, row_number() OVER (PARTITION BY task_name ORDER BY window_id) - 1 AS n FROM samples)
+SELECT 'syn_' || task_name || '_' || lpad(CAST(n AS VARCHAR), 5, '0') AS id, CASE WHEN back THEN 'backward' ELSE 'forward' END AS direction, CASE WHEN back THEN stem || '0.png' ELSE stem || '3.png' END AS target_image, CASE WHEN back THEN stem || '1.png' ELSE stem || '2.png' END AS cond_image, '<img>' AS answer,
+CASE task_name WHEN 'maze' THEN 'This is a top-down ' || (window_id % 9) || '×' || (window_id % 9) || ' grid-maze video' WHEN 'stable_sort' THEN 'This is a top-down sorting video' ELSE 'This is a top-down grid video' END AS opening FROM r""",
+)
+def synthetic_rows(spark, sf_dir):
+    found = _turns(recipes.synthetic_rows(_samples(spark, sf_dir), choice="mixed", bare=True))
+    return found.select("id", "direction", "target_image", "cond_image", "answer", F.regexp_extract("human", "This is a top-down [^:]*video", 0).alias("opening"))
+
+
+@query(
+    "synthetic_dual_rows",
+    f"""WITH {SAMPLES}, h AS (SELECT *, row_number() OVER (PARTITION BY task_name ORDER BY md5('0:' || window_id || ':holdout'), window_id) <= 20 AS held FROM samples),
+r AS (SELECT *, row_number() OVER (PARTITION BY task_name, held ORDER BY window_id) - 1 AS n, count(*) OVER (PARTITION BY task_name, held) AS size FROM h)
+SELECT 'syn_' || task_name || '_dual_' || CASE WHEN held THEN 'eval' ELSE 'train' END || '_' || lpad(CAST(n AS VARCHAR), 5, '0') AS id, held AS eval_holdout, stem || '3.png' AS target_image, stem || '2.png' AS cond_image, 7 AS n_images FROM r WHERE size > 3""",
+)
+def synthetic_dual_rows(spark, sf_dir):
+    found = recipes.synthetic_dual_rows(_samples(spark, sf_dir), held_out=20)
+    return found.select("id", "eval_holdout", "target_image", "cond_image", F.size("image").alias("n_images"))
+
+
+@query(
+    "merged_setting",
+    """WITH e AS (SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 5 <> 0), r AS (SELECT source, doc_id, CASE source WHEN 'src7' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END AS s FROM documents WHERE source IN ('src7', 'src1', 'src12')),
+k AS (SELECT * FROM r WHERE CAST(doc_id AS VARCHAR) IN (SELECT path FROM e) AND CAST(doc_id * 3 % 1000 AS VARCHAR) IN (SELECT path FROM e))
+SELECT 'S0_' || lpad(CAST(row_number() OVER (ORDER BY s, doc_id) - 1 AS VARCHAR), 6, '0') AS id, CAST(doc_id AS VARCHAR) AS orig_id, source FROM k""",
+)
+def merged_setting(spark, sf_dir):
+    docs = T.table(spark, sf_dir, "documents")
+    number = lambda c: c.cast("string")
+    parts = {s: docs.filter(F.col("source") == s).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("_row"), F.array(number(F.col("doc_id"))).alias("image"), number(F.col("doc_id") * 3 % 1000).alias("target_image")) for s in ("src7", "src1", "src12")}
+    existing = docs.filter("doc_id % 5 <> 0").select(number(F.col("doc_id")).alias("path"))
+    return recipes.merged_setting(parts, existing, "S0").select("id", "orig_id", "source")
+
+
+def _progressions(spark, sf_dir):
+    found = _captioned(spark, sf_dir).withColumn("conversations", rows.conversation(F.lit(""), F.lit("")))
+    prefixes = found.select(F.col("image").alias("context_paths"), "caption_prefix", F.lit(0).alias("place")).distinct()
+    skeleton, manifest = recipes.progression_inputs(found.drop("caption_prefix"), prefixes, "place")
+    odd = F.substring(F.md5("id"), 1, 1) < "2"
+    labels = manifest.select("id", F.when(odd, "unreadable").otherwise(P.text("Progression: moves\nNext frame: stops at ", F.col("target_image"))).alias("raw"), F.lit(0).alias("place"))
+    return recipes.filled_progressions(skeleton, labels, "S4", "id", "place")
+
+
+@query(
+    "filled_progressions",
+    f"""WITH {ANCHORS}, k AS (SELECT example_id, cands[answer_index + 1] AS t FROM anchors WHERE NOT substring(md5(example_id), 1, 1) < '2')
+SELECT 'S4_' || lpad(CAST(row_number() OVER (ORDER BY example_id) - 1 AS VARCHAR), 6, '0') AS id, example_id AS orig_id, 'moves. Next frame prediction: stops at ' || t || '. The next frame should look like this: <img>' AS answer FROM k""",
+)
+def filled_progressions(spark, sf_dir):
+    return _turns(_progressions(spark, sf_dir)[0]).select("id", "orig_id", "answer")
+
+
+@query("progressions_dropped", f"WITH {ANCHORS} SELECT example_id AS id FROM anchors WHERE substring(md5(example_id), 1, 1) < '2'")
+def progressions_dropped(spark, sf_dir):
+    return _progressions(spark, sf_dir)[1]
+
+
+@query("usable_pool", "SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id % 2 = 0 AND source <> 'src3'")
+def usable_pool(spark, sf_dir):
+    pool = T.table(spark, sf_dir, "documents").select("doc_id", (F.col("lang") == "en").alias("kitchen"), (F.col("doc_id") % 2 == 0).alias("manipulation"), F.when(F.col("source") == "src3", "undesirable").otherwise("desirable").alias("desirable_filtering"))
+    return recipes.usable_pool(pool).select("doc_id")
+
+
+@query("split_scan", f"WITH {SCORES} SELECT s.id, v.run, CASE WHEN s.run = v.run THEN rule_score END AS score FROM scores s, (VALUES ('s0'), ('s1'), ('s2')) v(run)")
+def split_scan(spark, sf_dir):
+    found = T.scores(spark, sf_dir)
+    return recipes.split_scan(found.select("id", "task_name"), ["s0", "s1", "s2"], found.select("id", "run", F.col("rule_score").alias("score"))).select("id", "run", "score")
+
+
+@query("anchors_with_texts")
+def anchors_with_texts(spark, sf_dir):
+    config = recipes.SourceConfig("clips", cross_clip=True, target=150, cap=5)
+    found = recipes.anchors(T.clips(spark, sf_dir), config, T.segments(spark, sf_dir))
+    return found.select("example_id", "action_text", joined("candidate_paths").alias("candidate_paths"), "answer_index", "negative_kind")

@@ -205,3 +205,15 @@ def test_palette_and_renumbering(spark):
 def test_disjointness_is_enforced(spark):
     with pytest.raises(Exception, match="overlap"):
         splits.require_disjoint(spark.range(5), spark.range(4, 6), "id").collect()
+
+
+def test_presets_and_provenance():
+    from reelforge.plans import recipes
+
+    valid = ["maze", "rotation_puzzle"]
+    assert recipes.resolve_tasks(None, "pilot5", valid, ["x"]) == ["rotation_puzzle"]
+    assert recipes.resolve_tasks(["a"], None, valid, ["x"]) == ["a"] and recipes.resolve_tasks(None, None, valid, ["x"]) == ["x"]
+    for bad in ((["a"], "pilot5", valid), (None, "other", valid), (None, "pilot5", ["maze"])):
+        with pytest.raises(ValueError):
+            recipes.resolve_tasks(*bad, [])
+    assert "horizon: 2 grid-steps (1.00s)" in recipes.provenance(recipes.SourceConfig("clips"), 5, 2, "S0")
