@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
+from .windows import ordinal
 
 
 def match_intervals(transitions: DataFrame, segments: DataFrame, begin: str, end: str, width: int | None = None) -> DataFrame:
@@ -75,19 +76,25 @@ def shuffled_options(rows: DataFrame, identity: str, truth: str, others: list[tu
     return out.withColumn("answer_index", (F.array_position("candidate_types", F.lit("ground_truth")) - 1).cast("int"))
 
 
+def _listed(asked: DataFrame, placed: DataFrame, identity: str) -> DataFrame:
+    """(_asker, others) from the places that each row asks for, in order."""
+    found = asked.join(placed.select("_at", F.col(identity).alias("_other")), "_at")
+    return found.groupBy("_asker").agg(F.transform(F.array_sort(F.collect_list(F.struct("_step", "_other"))), lambda s: s["_other"]).alias("others"))
+
+
 def ring_neighbours(rows: DataFrame, group: list[str], identity: str, k: int = 3, seed: int = 0) -> DataFrame:
     """k other rows of the same group, as an array: neighbours on a drawn ring.
 
-    Distinct and never the row itself; groups of k rows or fewer go.
+    Distinct and never the row itself; groups of k rows or fewer go.  Rows are
+    numbered by ranges and neighbours joined by number, so that a group of any
+    size is spread over all tasks.
     """
-    order = draw(seed, identity, "ring")
-    rows = rows.withColumn("_h", order)
-    line = Window.partitionBy(*group).orderBy("_h", identity)
-    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    size = F.count("*").over(Window.partitionBy(*group))
-    wrap = [F.coalesce(F.lead(identity, j).over(line), F.when(F.col("_size") > k, F.element_at("_heads", F.greatest(F.lit(1), F.lit(j) - (F.col("_size") - F.col("_at"))).cast("int")))) for j in range(1, k + 1)]
-    rows = rows.withColumns({"_size": size, "_at": F.row_number().over(line), "_heads": F.array(*[F.nth_value(identity, j).over(whole) for j in range(1, k + 1)])})
-    return rows.withColumn("others", F.array(*wrap)).filter(F.col("_size") > k).drop("_h", "_size", "_at", "_heads")
+    placed = ordinal(rows.select(*group, identity, draw(seed, identity, "ring").alias("_h")), *group, "_h", identity, name="_at")
+    blocks = placed.groupBy(*group).agg(F.min("_at").alias("_start"), F.count("*").alias("_size")).filter(F.col("_size") > k)
+    asked = placed.join(blocks, group).withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    want = F.col("_start") + (F.col("_at") - F.col("_start") + F.col("_step")) % F.col("_size")
+    lists = _listed(asked.select(F.col(identity).alias("_asker"), "_step", want.alias("_at")), placed, identity)
+    return rows.join(lists, rows[identity] == lists["_asker"]).drop("_asker")
 
 
 def other_clip_negatives(rows: DataFrame, clip: str, identity: str, k: int = 3, seed: int = 0) -> DataFrame:
@@ -95,17 +102,14 @@ def other_clip_negatives(rows: DataFrame, clip: str, identity: str, k: int = 3,
 
     Adds ``others``; null where fewer than k rows belong to other clips.
     """
-    hashed = rows.withColumns({"_c": draw(seed, clip, "clip"), "_h": draw(seed, identity, "row")})
-    from .windows import ordinal
-
+    hashed = rows.select(clip, identity, draw(seed, clip, "clip").alias("_c"), draw(seed, identity, "row").alias("_h"))
     placed = ordinal(hashed, "_c", clip, "_h", identity, name="_at")
     blocks = placed.groupBy(clip).agg(F.max("_at").alias("_end"), F.count("*").alias("_block"))
-    total = placed.agg(F.count("*").alias("_n"))
+    total = placed.agg(F.count("*").alias("_n"))  # one row
     asked = placed.join(blocks, clip).join(F.broadcast(total))
-    asked = asked.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(k)))).filter(F.col("_n") - F.col("_block") >= k)
+    asked = asked.filter(F.col("_n") - F.col("_block") >= k).withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(k))))
     want = F.pmod(F.col("_end") + F.col("_step"), F.col("_n"))
-    found = asked.select(F.col(identity).alias("_asker"), "_step", want.alias("_at")).join(placed.select("_at", F.col(identity).alias("_other")), "_at")
-    lists = found.groupBy("_asker").agg(F.transform(F.array_sort(F.collect_list(F.struct("_step", "_other"))), lambda s: s["_other"]).alias("others"))
+    lists = _listed(asked.select(F.col(identity).alias("_asker"), "_step", want.alias("_at")), placed, identity)
     return rows.join(lists, rows[identity] == lists["_asker"], "left").drop("_asker")
 
 

@@ -6,22 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
+from .windows import ordinal
 
 
 def holdout(rows: DataFrame, group: str, count: int | None = None, fraction: float | None = None, within: list[str] | None = None, seed: int = 0) -> DataFrame:
     """Adds ``held_out``: whole groups, a count or a fraction (at least one).
 
-    within: columns inside which the groups are counted, such as a task.
+    within: columns inside which the groups are counted, such as a task.  Groups
+    are numbered by ranges of the drawn order, not in one task.
     """
     within = within or []
-    groups = rows.select(*within, group).distinct()
-    order = Window.partitionBy(*within).orderBy(draw(seed, group, "holdout"), group)
-    ranked = groups.withColumn("_n", F.row_number().over(order))
-    if count is None:
-        ranked = ranked.withColumn("_k", F.greatest(F.lit(1), F.bround(F.count("*").over(Window.partitionBy(*within)) * F.lit(fraction)).cast("int")))
-    else:
-        ranked = ranked.withColumn("_k", F.lit(count))
-    return rows.join(ranked.select(*within, group, (F.col("_n") <= F.col("_k")).alias("held_out")), [*within, group])
+    groups = rows.select(*within, group).distinct().withColumn("_h", draw(seed, group, "holdout"))
+    placed = ordinal(groups, *within, "_h", group, name="_at")
+    size = F.lit(count) if count is not None else F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(fraction)).cast("int"))
+    limits = placed.groupBy(*within).agg((F.min("_at") + size).alias("_end"))
+    ranked = placed.join(limits, within) if within else placed.join(F.broadcast(limits))
+    return rows.join(ranked.select(*within, group, (F.col("_at") < F.col("_end")).alias("held_out")), [*within, group])
 
 
 def require_disjoint(train: DataFrame, held_out: DataFrame, key: str) -> DataFrame:
@@ -31,11 +31,17 @@ def require_disjoint(train: DataFrame, held_out: DataFrame, key: str) -> DataFra
 
 
 def capped_sample(rows: DataFrame, group: str, identity: str, n: int, cap: int, seed: int = 0) -> DataFrame:
-    """n rows in drawn order, at most cap of a group while others are left."""
-    order = draw(seed, identity, "sample")
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order, identity))
-    ranked = rows.withColumns({"_h": order, "_over": place > cap})
-    return ranked.orderBy("_over", "_h", identity).limit(n).drop("_h", "_over")
+    """n rows in drawn order, at most cap of a group while others are left.
+
+    The first cap rows of a group are found with a limit on each side of the
+    shuffle; the others matter only as far as n rows of them can be needed.
+    """
+    hashed = rows.withColumn("_h", draw(seed, identity, "sample"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_h", identity))
+    within = hashed.withColumn("_n", place).filter(F.col("_n") <= cap).drop("_n")
+    rest = hashed.join(within.select(identity), identity, "left_anti").orderBy("_h", identity).limit(n)
+    both = within.withColumn("_over", F.lit(0)).unionByName(rest.withColumn("_over", F.lit(1)))
+    return both.orderBy("_over", "_h", identity).limit(n).drop("_h", "_over")
 
 
 def uniform_sample(rows: DataFrame, identity: str, n: int, seed: int = 0) -> DataFrame:
