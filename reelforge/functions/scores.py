@@ -51,7 +51,7 @@ def centroid_distance(a: Column, b: Column) -> Column:
 
 def axial_difference(a: Column, b: Column) -> Column:
     """Angle between undirected axes in degrees, 0 to 90."""
-    d = F.pmod(a - b, F.lit(180.0))
+    d = F.abs(F.pmod(a - b, F.lit(180.0)))  # no negative zero
     return F.least(d, 180.0 - d)
 
 
