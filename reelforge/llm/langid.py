@@ -21,11 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import Scratch, prepare
 
 UNDETERMINED = "und"
 ORDERS = (4, 3, 2, 1)
@@ -54,16 +54,38 @@ class Model:
     place: dict[tuple[int, str], int]  # (0, word) or (n, n-gram)
     weights: np.ndarray
 
-    def word(self, word: str) -> np.ndarray | None:
-        """Log frequencies of a word by backoff, None if nothing is known."""
-        at = self.place.get((0, word))
+    def __post_init__(self) -> None:
+        self.by_kind: dict[int, dict[str, int]] = {kind: {} for kind in (0, *ORDERS)}
+        for (kind, gram), at in self.place.items():
+            self.by_kind[kind][gram] = at
+
+    def rows(self, word: str) -> list[int]:
+        """Rows of a word by backoff: its own, or those of its longest known grams."""
+        at = self.by_kind[0].get(word)
         if at is not None:
-            return self.weights[at]
+            return [at]
         for n in ORDERS:
-            known = [p for g in grams(word, n) if (p := self.place.get((n, g))) is not None]
-            if known:
-                return self.weights[known].mean(axis=0)
-        return None
+            known = self.by_kind[n]
+            found = [known[g] for g in grams(word, n) if g in known]
+            if found:
+                return found
+        return []
+
+    def word(self, word: str) -> np.ndarray | None:
+        """Log frequencies of one word, None if nothing is known."""
+        return self.words([word])[0] if self.rows(word) else None
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log frequencies of words, the mean over their rows; 0 if nothing is known."""
+        rows = [self.rows(w) for w in words]
+        count = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        flat = np.fromiter((at for r in rows for at in r), dtype=np.int64, count=int(count.sum()))
+        out = np.zeros((len(words), len(self.languages)))
+        if len(flat):
+            known = np.flatnonzero(count)
+            starts = (np.cumsum(count) - count)[known]
+            out[known] = np.add.reduceat(self.weights[flat], starts, axis=0) / count[known, None]
+        return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +119,10 @@ def fit(labelled: DataFrame, sample: int = 1500, top: int = 60_000, least: int =
     drawn = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
     counted = drawn.select("lang", "text").mapInArrow(_count, "lang string, kind int, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
     wide = counted.groupBy("kind", "gram").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"_{i}") for i, lang in enumerate(languages)])
-    ranked = wide.filter(F.col("total") >= least).withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("total"), "gram")))
-    rows = ranked.filter(F.col("rank") <= top).select("kind", "gram", *[f"_{i}" for i in range(len(languages))]).collect()
+    wide = Scratch(labelled.sparkSession, "langid").put(wide.filter(F.col("total") >= least))
+    rows = []
+    for kind in (0, *ORDERS):  # each task keeps its own first ones, so that no task reads all grams
+        rows += wide.filter(F.col("kind") == kind).orderBy(F.desc("total"), "gram").limit(top).collect()
     rows.sort(key=lambda r: (r["kind"], r["gram"]))
     place = {(r["kind"], r["gram"]): i for i, r in enumerate(rows)}
     counts = np.array([[r[f"_{i}"] for i in range(len(languages))] for r in rows], dtype=np.float64).reshape(len(rows), len(languages))
@@ -132,8 +156,7 @@ class Scorer:
         fresh = list({w for ws in words for w in ws if w not in place})
         if fresh:
             place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
-            found = [self.model.word(w) for w in fresh]
-            self.table = np.concatenate([self.table, np.array([np.zeros(self.width) if x is None else x for x in found])])
+            self.table = np.concatenate([self.table, self.model.words(fresh)])
         for i, ws in enumerate(words):
             if not ws or not (ws[0].isalpha() or any(map(str.isalpha, texts[i]))):
                 continue
