@@ -18,6 +18,11 @@ seeds, each with the Golay codewords of its own 16-bit segment of a longer
 fingerprint, so that a passage that a third of all documents share doesn't
 gather them in one bucket.
 
+Such loose links are only candidates.  ``keep_one`` gathers the shingle sets of
+each candidate group, in a grid of bounded blocks if it is large, and links two
+texts if the Jaccard similarity of their sets is high enough.  Two similar sets
+share one of the rarest shingles of each, which spares most comparisons.
+
 Buckets are matched in bounded blocks and give spanning forests, not pairs.
 """
 
@@ -42,6 +47,11 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 ANCHOR_BITS = 16
 #: Index rows of one key that one block may hold.
 BLOCK = 4096
+#: Differing bits of a candidate: at Jaccard 0.8, 10 of 64 are expected (12 in the shortest texts), give or take 3.
+CANDIDATE_BITS = 24
+#: Shingles in one part of a candidate group, and the rows up to which a block compares all its pairs.
+PART_SHINGLES = 1 << 20
+FEW = 16
 #: Pairs that a kernel compares at once.
 PAIRS = 1 << 20
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -184,9 +194,14 @@ def _fingerprints(shingle: int, anchors: int):
             texts = batch.column("text").to_pylist()
             fps = np.zeros(len(texts), dtype=np.uint64)
             lows = np.zeros((len(texts), 2 * anchors), dtype=np.uint64)
+            nodes = np.zeros(len(texts), dtype=np.uint64)
+            sizes = np.zeros(len(texts), dtype=np.int64)
             each = 64 // ANCHOR_BITS
             for i, text in enumerate(texts):
                 hashes = shingle_hashes(text, shingle)
+                if anchors:
+                    hashes = np.unique(hashes)
+                    nodes[i], sizes[i] = xxhash.xxh64_intdigest(hashes.tobytes()), len(hashes)
                 fps[i] = fingerprint(hashes)
                 longer = 0
                 for k in range(anchors if len(hashes) else 0):
@@ -197,8 +212,8 @@ def _fingerprints(shingle: int, anchors: int):
             columns = [batch.column("doc_id"), pa.array(fps.view(np.int64))]
             names = ["doc_id", "fp"]
             if anchors:
-                columns.append(pa.array(list(lows.view(np.int64)), type=pa.list_(pa.int64())))
-                names.append("anchors")
+                columns += [pa.array(list(lows.view(np.int64)), type=pa.list_(pa.int64())), pa.array(nodes.view(np.int64)), pa.array(sizes), batch.column("text")]
+                names += ["anchors", "node", "size", "text"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -207,9 +222,11 @@ def _fingerprints(shingle: int, anchors: int):
 def fingerprints(docs: DataFrame, shingle: int = 3, anchors: int = 0) -> DataFrame:
     """doc_id, fp long (the unsigned bits) and, if asked for, anchors array<long>.
 
-    A null or wordless text has fingerprint zero.
+    With anchors, a repeated shingle counts once; ``node`` is a hash of the set
+    of shingles and ``size`` their number, and the text comes along.  A null or
+    wordless text has fingerprint zero.
     """
-    schema = "doc_id long, fp long" + (", anchors array<long>" if anchors else "")
+    schema = "doc_id long, fp long" + (", anchors array<long>, node long, size long, text string" if anchors else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(shingle, anchors), schema)
 
 
@@ -342,39 +359,137 @@ def linked(spark: SparkSession, prints: DataFrame, max_bits: int, anchored: bool
     )
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, anchors: int = 0) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links).
 
     Fingerprints link at ``max_bits`` or fewer differing bits: exactly for 3 or
-    less without anchors; with anchors, links need a shared key.  Texts that
-    are null or wordless have fingerprint zero and link like any other.  Rows
-    may repeat.  A null doc_id is never a component's id unless alone.
+    less.  Texts that are null or wordless have fingerprint zero and link like
+    any other.  Rows may repeat.  A null doc_id is never a component's id unless
+    alone.
     """
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "near-duplicates")
-    each = scratch.put(fingerprints(docs, shingle, anchors))
-    prints = each.groupBy("fp", *(["anchors"] if anchors else [])).agg(F.min("doc_id").alias("low"))
-    prints = scratch.put(prints)
-    labels = components(spark, linked(spark, prints, max_bits, bool(anchors)))
-    member = prints.groupBy("fp").agg(F.min("low").alias("low")).join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
+    each = scratch.put(fingerprints(docs, shingle))
+    prints = scratch.put(each.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    labels = components(spark, linked(spark, prints, max_bits))
+    member = prints.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     member = scratch.put(member)
     lows = scratch.put(member.groupBy("label").agg(F.min("low").alias("component_id")))
     member = scratch.put(member.join(lows, "label").select("fp", "component_id"))
     return each.select("doc_id", "fp").join(member, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_forest(sets: list[np.ndarray], part: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) whose components are those of all pairs with a Jaccard of
+    ``similarity`` or more; where parts differ, of all pairs across parts.
+
+    With shingles ordered from rare to common, sets that similar share one of
+    the first n - ceil(similarity * n) + 1 of each.  Pairs that are connected
+    already aren't compared.
+    """
+    m = len(sets)
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=m)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    _, token, frequency = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    crossed = part.min() != part.max()
+    label, marked, links = np.arange(m), np.zeros(len(frequency), dtype=bool), []
+    if m > FEW:
+        owner = np.repeat(np.arange(m), sizes)
+        order = np.lexsort((token, frequency[token], owner))
+        first = np.arange(len(token)) - bounds[owner] < (sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1)[owner]
+        first &= frequency[token[order]] > 1
+        rare, holder = token[order][first], owner[first]
+        starts = np.searchsorted(holder, np.arange(m + 1))
+        by_token = np.argsort(rare, kind="stable")
+        posted, posting = rare[by_token], holder[by_token]
+        lo, hi = np.searchsorted(posted, rare), np.searchsorted(posted, rare, side="right")
+    for i in range(m - 1):
+        if m > FEW:
+            near = np.zeros(m, dtype=bool)
+            for at in range(starts[i], starts[i + 1]):
+                near[posting[lo[at] : hi[at]]] = True
+            near[: i + 1] = False
+        else:
+            near = np.arange(m) > i
+        near &= (label != label[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9)
+        if crossed:
+            near &= part != part[i]
+        others = np.flatnonzero(near)
+        if not len(others):
+            continue
+        marked[token[bounds[i] : bounds[i + 1]]] = True
+        n = sizes[others]
+        ends = np.cumsum(n)
+        flat = np.arange(ends[-1]) + np.repeat(bounds[others] - ends + n, n)
+        common = np.add.reduceat(marked[token[flat]].astype(np.int64), ends - n)
+        marked[token[bounds[i] : bounds[i + 1]]] = False
+        for j in others[common / (sizes[i] + n - common) >= similarity].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                links.append((i, j))
+    return links
+
+
+def _verify(shingle: int, similarity: float):
+    """Sorted by (label, block): the texts of a block of a candidate group."""
+
+    def solve(rows):
+        nodes = np.array([r[0] for r in rows], dtype=np.int64)
+        links = similar_forest([r[2] for r in rows], np.array([r[1] for r in rows]), similarity)
+        u, v = (np.array([x[k] for x in links], dtype=np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for label, block, part, node, text in zip(*(batch.column(n).to_pylist() for n in ("label", "block", "part", "node", "text")), strict=True):
+                if (label, block) != now:
+                    if len(rows) > 1:
+                        yield solve(rows)
+                    now, rows = (label, block), []
+                rows.append((node, part, np.unique(shingle_hashes(text, shingle))))
+        if len(rows) > 1:
+            yield solve(rows)
+
+    return run
+
+
+def similar(spark: SparkSession, each: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v) edges between nodes; their components are those of all pairs of
+    one candidate group (``groups``: fp, label) with enough similarity.
+
+    A group of more than PART_SHINGLES is cut into parts, and every two parts
+    (and each by itself) meet in a block.
+    """
+    scratch = Scratch(spark, "similar")
+    nodes = each.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size")).join(groups, "fp", "left").select("node", "size", F.coalesce("label", "fp").alias("label"))
+    nodes = scratch.put(nodes)
+    large = nodes.groupBy("label").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / PART_SHINGLES).cast("int").alias("side")).filter("n > 1").select("label", "side")
+    member = scratch.put(nodes.join(large, "label").select("node", "label", "side"))
+    part = F.pmod(F.xxhash64("node"), F.col("side")).cast("int")
+    texts = each.groupBy("node").agg(F.min("text").alias("text")).join(member, "node").withColumn("part", part)
+    other = F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+    dealt = texts.withColumn("other", other).select("label", (F.least("part", "other") * F.col("side") + F.greatest("part", "other")).cast("long").alias("block"), "part", "node", "text")
+    return dealt.repartition(partitions(spark), "label", "block").sortWithinPartitions("label", "block").mapInArrow(_verify(shingle, similarity), "u long, v long")
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors: int = 12) -> DataFrame:
     """Documents with one row of each near-duplicate group kept.
 
-    SimHash estimates the cosine of shingle multisets as cos(pi * bits / 64);
-    texts link when that reaches ``similarity`` (0.8: 13 bits or fewer).  Kept
-    is the row with the smallest doc_id of its group; rows that repeat a doc_id
-    are one document and share its fate.  Texts without words aren't compared
-    and stay.  All columns stay.
+    Texts link when the Jaccard similarity of their sets of shingles reaches
+    ``similarity``; SimHash and anchors only find the candidates.  Kept is the
+    row with the smallest doc_id of its group; rows that repeat a doc_id are one
+    document and share its fate.  Texts without words aren't compared and stay.
+    All columns stay.
     """
-    max_bits = int(np.floor(np.arccos(similarity) / np.pi * 64))
     spark = prepare(docs.sparkSession)
+    scratch = Scratch(spark, "keep-one")
     worded = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    found = near_duplicates(worded, shingle, max_bits, anchors).select("doc_id", "component_id").distinct()
-    found = Scratch(spark, "keep-one").put(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
+    each = scratch.put(fingerprints(worded, shingle, anchors))
+    prints = scratch.put(each.select("fp", "anchors").distinct())
+    groups = components(spark, linked(spark, prints, CANDIDATE_BITS, True)).withColumnRenamed("node", "fp")
+    labels = components(spark, similar(spark, each, groups, shingle, similarity))
+    found = scratch.put(each.select("doc_id", "node").distinct().join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label")))
+    lows = scratch.put(found.groupBy("label").agg(F.min("doc_id").alias("low")))
+    found = scratch.put(found.join(lows, "label").filter("doc_id <> low").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")

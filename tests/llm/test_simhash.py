@@ -92,3 +92,50 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(15)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (300, 200), (None, 5)]
     got = dict(map(tuple, graph.components(spark, spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == {i: 0 for i in range(16)} | {100 + i: 100 for i in range(30)} | {200: 200, 300: 200}
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def kept_by_jaccard(rows):
+    sets = [shingles(text) for _, text, _ in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    low = {}
+    for (doc, *_), r in zip(rows, root, strict=True):
+        low[r] = min(low.get(r, doc), doc)
+    return sorted(low.values())
+
+
+def test_links_have_the_jaccard(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    rows = []
+    put = lambda words: rows.append((len(rows), " ".join(words), ""))
+    for n, step in ((200, 1), (40, 4), (9, 20)):
+        for percent in range(40, 96, step):  # a shared passage of any length: Jaccard 0.4 to 0.95
+            words = [word() for _ in range(n)]
+            shared = round(2 * percent / (100 + percent) * n)
+            put(words)
+            put(words[:shared] + [word() for _ in range(n - shared)])
+    for _ in range(60):  # short texts that share a shingle
+        words = [word() for _ in range(rng.choice([5, 6, 7]))]
+        put(words)
+        put(words[:5] + [word()])
+        put([*words, word()])
+    for share in (100, 170, 185):  # a hot passage; only the longest makes its texts similar
+        hot = [word() for _ in range(share)]
+        for _ in range(60):
+            put(hot + [word() for _ in range(200 - share)])
+    put(rows[0][1].split() * 30)  # the same set of shingles but for those across the seam
+    want = kept_by_jaccard(rows)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == want
+    monkeypatch.setattr(simhash, "PART_SHINGLES", 3000)  # groups dealt in parts
+    assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == want
