@@ -88,6 +88,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     never taken, an empty table gives an empty mix; repeated rows are dealt like
     different documents.  The same rows and seed give the same result.
     """
+    return _dealt(docs, weights, share, most, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: int) -> DataFrame:
+    """The mix with the source and shard of each row."""
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "mixing")
     sized = scratch.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")))
@@ -102,11 +107,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     placed = sized.join(dealt.select(F.col("source").alias("_source"), "sid", "shards"), F.col("source").eqNullSafe(F.col("_source"))).select(
         "sid", (F.conv(F.substring(drawn(f"{seed}:shard:", "doc_id"), 1, 8), 16, 10).cast("long") % F.col("shards")).cast("int").alias("shard"), "doc_id", "size", seeded.alias("seeded")
     )
-    cells = placed.groupBy("sid", "shard").agg(F.sum("size").alias("words")).join(dealt.select("sid", "block", "source_size", "target", F.col("seats").alias("source_seats")), "sid")
+    cells = placed.groupBy("sid", "shard").agg(F.sum("size").alias("words")).join(dealt.select("sid", "source", "block", "source_size", "target", F.col("seats").alias("source_seats")), "sid")
     cells = seats(cells, "words", "source_seats", ["sid"], "shard")
     quota = F.least(F.col("seats") * F.col("block"), F.col("words") * most)
     cells = cells.withColumn("quota", quota).withColumn("passes", F.when(F.col("words") > 0, F.floor(F.col("quota") / F.col("words"))).otherwise(0).cast("long"))
-    cells = scratch.put(cells.withColumn("rest", F.col("quota") - F.col("passes") * F.col("words")).select("sid", "shard", "words", "block", "source_size", "target", "passes", "rest"))
+    cells = scratch.put(cells.withColumn("rest", F.col("quota") - F.col("passes") * F.col("words")).select("sid", "source", "shard", "words", "block", "source_size", "target", "passes", "rest"))
 
     line = Window.partitionBy("sid", "shard").orderBy("seeded", "doc_id", "size")
     laid = placed.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("size"))
@@ -122,22 +127,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     extra = covering.join(chosen, ["sid", "shard", "number"]).groupBy("sid", "shard", "start").agg(F.sum(F.greatest(F.lit(0), F.least("end", "to") - F.greatest("start", "from"))).alias("extra"))
     extra = extra.withColumn("size", F.lit(1))  # rows of size 0 share their start with the next one
 
-    out = laid.join(cells.select("sid", "shard", "source_size", "target", "passes"), ["sid", "shard"])
+    out = laid.join(cells.select("sid", "source", "shard", "source_size", "target", "passes"), ["sid", "shard"])
     out = out.join(extra.withColumnRenamed("size", "_one"), ["sid", "shard", "start"], "left")
     taken = F.when(F.col("size") > 0, F.col("passes") * F.col("size") + F.coalesce("extra", F.lit(0))).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("sid", "source", "shard", "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, **parameters) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: int = 42) -> DataFrame:
     """The mix as documents: each row as often as its words were taken.
 
-    A row whose words were taken m times over appears m times; a part of a
-    document counts as the document from half its words on.  Wordless rows
-    belong to no source's quota and go.  All columns stay.
+    A row whose words were taken m times over appears m times.  Parts of
+    documents are added up along a shard from the longest document to the
+    shortest, from a seeded start, and the document at which the sum passes a
+    whole number appears once more: a shard's words stay within its longest
+    document or so of those taken, and no document is favoured by its length.
+    Rows of one source that repeat a doc_id are one document here.  Wordless
+    rows belong to no source's quota and go.  All columns stay.
     """
-    prepare(docs.sparkSession)
-    times = mix(docs, **parameters).filter("size > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times"))
-    times = times.filter("_times > 0").groupBy("_id").agg(F.min("_times").alias("_times"))
+    taken = _dealt(docs, weights, share, most, seed).filter("size > 0").groupBy("sid", "source", "shard", "doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    line = Window.partitionBy("sid", "shard").orderBy(F.desc("size"), drawn(f"{seed}:", "doc_id"), "doc_id")
+    start = F.conv(F.substring(drawn(f"{seed}:copies:", "sid", "shard"), 1, 8), 16, 10).cast("double") / 2.0**32
+    taken = taken.withColumns({"whole": F.floor(F.col("taken") / F.col("size")), "begin": start})
+    part = F.sum((F.col("taken") - F.col("whole") * F.col("size")) / F.col("size")).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    passed = taken.withColumn("passed", F.floor(F.col("begin") + part))
+    copies = F.col("whole") + F.col("passed") - F.lag("passed", 1, 0).over(line)
+    times = passed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), copies.cast("int").alias("_times")).filter("_times > 0")
     names = docs.columns
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)

@@ -92,3 +92,23 @@ def test_mixed_documents(spark):
     ids = [r.doc_id for r in got.collect()]
     assert 99 not in ids and 0 < len(ids) and max(ids.count(i) for i in ids) <= 3
     assert abs(sum(i < 10 for i in ids) - 5 / 7 * 40) <= 3
+
+
+def test_mixed_words_meet_targets(spark):
+    rng = random.Random(9)
+    rows = []
+    for source, docs in (("a", 150), ("b", 700), ("c", 900), ("d", 40), (None, 500)):
+        rows += [(len(rows) + k, "w " * rng.choice([20, 250, 250, 1500]), source, 0) for k in range(docs)]
+    sizes, got, longest = {}, {}, {}
+    for _, text, source, _ in rows:
+        sizes[source] = sizes.get(source, 0) + len(text) // 2
+    for r in mixing.mixed(spark.createDataFrame(rows, SCHEMA)).collect():
+        n = len(r.text) // 2
+        got[r.source] = got.get(r.source, 0) + n
+        longest[r.source, n] = longest.get((r.source, n), 0) + n
+    aim = brute_targets(sizes)
+    for s in sizes:
+        assert abs(got.get(s, 0) - aim[s]) <= 1500 + 0.01 * aim[s], (s, got.get(s, 0), aim[s])
+        for n in (250, 1500):  # and no length is favoured
+            had = sum(len(t) // 2 for _, t, source, _ in rows if source == s and len(t) // 2 == n)
+            assert abs(longest.get((s, n), 0) / had - aim[s] / sizes[s]) <= 0.35
