@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from reelforge.llm import vector_dedup
 
@@ -54,23 +55,56 @@ def test_matches_brute_force(spark):
     assert got(spark, rows) == brute(rows)
 
 
-def test_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vector_dedup, "BLOCK", 25)
+@pytest.mark.parametrize("block", [2, 25])
+def test_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(vector_dedup, "BLOCK", block)
+    monkeypatch.setattr(vector_dedup, "VISITORS", 4 * block)
+    monkeypatch.setattr(vector_dedup, "CHUNK", 100)
     rows = sample(300, 4)
     assert got(spark, [*rows, rows[-1]]) == brute([*rows, rows[-1]])
 
 
+def test_dense_spots_and_pivots(spark, monkeypatch):
+    """Two tight balls, a looser one at their fringe, and noise in one label."""
+    monkeypatch.setattr(vector_dedup, "BLOCK", 20)
+    rng = np.random.default_rng(8)
+    near = rng.normal(size=16)
+    near /= np.linalg.norm(near)
+    other = near + rng.normal(size=16) * 0.06
+    rows = [(i, (c + rng.normal(size=16) * s).tolist(), 1, "") for i, (c, s) in enumerate([(near, 0.015)] * 120 + [(other, 0.01)] * 90 + [(near, 0.05)] * 90 + [(np.zeros(16), 1.0)] * 200)]
+    want = brute(rows)
+    assert max(r[1] for r in want) > 150 and sum(0 < r[1] < 60 for r in want) > 20
+    assert got(spark, rows) == want
+
+
+@pytest.mark.parametrize("block", [1, 2, 1024])
+def test_collinear_at_the_threshold(spark, monkeypatch, block):
+    """Scaled copies of one vector, and vectors at cosine 0.98 give or take 1e-8 to it."""
+    monkeypatch.setattr(vector_dedup, "BLOCK", block)
+    v, w = np.eye(4)[0], np.eye(4)[1]
+    rows = [(i, (2.0 ** (i - 16) * v).tolist(), 1, "") for i in range(33)]
+    rows += [(100 + i, (c * v + np.sqrt(1 - c * c) * w).tolist(), 1, "") for i, c in enumerate((0.98 - 1e-8, 0.98 + 1e-8))]
+    schema = SCHEMA.replace("float", "double")
+    found = dict((r[0], r[1:]) for r in map(tuple, vector_dedup.near_duplicates(spark.createDataFrame(rows, schema)).collect()))
+    assert [found[i][:2] for i in range(33)] == [(33, 0)] * 33
+    assert found[100] == (1, 0, False) and found[101] == (34, 0, False)
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1, ""), (1, [0.0, 1.0], 1, ""), (2, [1.0, 0.01], 1, "")]
+    assert got(spark, rows) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
 def test_tree_covers_and_nests():
     points = np.random.default_rng(0).normal(size=(200, 5))
-    tree = vector_dedup.CoverTree(points / np.linalg.norm(points, axis=1)[:, None]).freeze()
+    tree = vector_dedup.CoverTree(points / np.linalg.norm(points, axis=1)[:, None])
     assert sorted(tree.order.tolist()) == list(range(200))
     for node, children in enumerate(tree.children):
-        members = tree.order[tree.start[node] : tree.end[node]]
-        assert np.linalg.norm(tree.points[members] - tree.points[tree.centre[node]], axis=1).max() <= tree.radius[node] + 1e-12
+        members = tree.members(node)
+        assert np.linalg.norm(tree.points[members] - tree.points[tree.centre[node]], axis=1).max() <= tree.radius[node] + 1e-7
         if len(children):
             assert tree.centre[node] in [tree.centre[c] for c in children]
-            if len(members) > vector_dedup.LEAF:
-                assert all(tree.radius[c] <= tree.radius[node] / 2 for c in children)
+            assert all(tree.radius[c] <= tree.radius[node] / 2 + 1e-9 for c in children)
 
 
 def test_empty(spark):
