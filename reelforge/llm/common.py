@@ -17,23 +17,32 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch.  Texts may be long, so a batch holds few of them.
 ARROW_ROWS = 1000
+#: Bytes after which a batch ends, whatever its rows.
+ARROW_BYTES = 16 << 20
 #: The word rule of every operator here, as a Java / RE2 / Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches and make sure that a checkpoint folder is set."""
+    """Bound Arrow batches (two settings of the session) and make sure that a shared folder is set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     scratch_root(spark)
     return spark
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where unset."""
+    """The shared folder the cluster names; one of our own only on a single machine.
+
+    Executors on other machines couldn't read a folder of this one, so without
+    ``spark.checkpoint.dir`` only a local master gets one.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="reelforge-")
         context.setCheckpointDir(named)
@@ -76,6 +85,17 @@ class Scratch:
                 raise gone
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added to those that columns of ``df`` bear."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import fresh, prepare
 
 #: Column that the operator adds: spans of the pseudonyms in the new text.
 SPANS = "pii_spans"
 ROUNDS = 10
+#: Characters that one permutation covers.
+PART = 64
+#: Values up to this length are remembered.
+SHORT = 128
 #: What the formats look like.
 PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9]))"
@@ -82,7 +86,13 @@ def _refill(shape: str, digits: str) -> str:
 
 
 def _alnum(text: str, key: bytes, tweak: str) -> str:
-    """Letters become letters of the same case and digits digits."""
+    """Letters become letters of the same case and digits digits.
+
+    Longer values than ``PART`` characters are permuted part by part, each part
+    with its place in the tweak: bounded numbers, linear work, still a bijection.
+    """
+    if len(text) > PART:
+        return "".join(_alnum(text[at : at + PART], key, f"{tweak}|{at}" if at else tweak) for at in range(0, len(text), PART))
     low = text.lower()
     value, size = 0, 1
     for c in low:
@@ -215,9 +225,13 @@ NAMES = {"ymd": "date", "dmy": "date", "nanp": "phone"}
 
 
 @lru_cache(maxsize=100_000)
+def _known(kind: str, text: str, key: bytes) -> str | None:
+    return KINDS[kind](text, key)
+
+
 def pseudonym(kind: str, text: str, key: bytes) -> str | None:
     """The pseudonym of a value of a kind, None if it isn't valid."""
-    return KINDS[kind](text, key)
+    return _known(kind, text, key) if len(text) <= SHORT else KINDS[kind](text, key)
 
 
 def replace(text: str | None, key: bytes) -> tuple[str | None, list[dict]]:
@@ -246,29 +260,32 @@ def replace(text: str | None, key: bytes) -> tuple[str | None, list[dict]]:
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _replace_batches(key: bytes):
+def _replace_batches(key: bytes, added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             done = [replace(t, key) for t in batch.column("text").to_pylist()]
             columns = dict(zip(names, batch.columns, strict=True))
             columns["text"] = pa.array([t for t, _ in done], type=pa.string())
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t, _ in done], type=pa.int64())
-            columns[SPANS] = pa.array([s for _, s in done], type=_SPAN_TYPE)
+            if "n_chars" in columns and pa.types.is_integer(columns["n_chars"].type):
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t, _ in done], type=columns["n_chars"].type)
+            for name in added:
+                columns[name] = pa.array([s for _, s in done], type=_SPAN_TYPE)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
-    """All columns with ``text`` (and its length in ``n_chars``) renewed, and spans.
+def pseudonymise(docs: DataFrame, key: bytes, spans: bool = True) -> DataFrame:
+    """All columns with ``text`` (and its length in an integer ``n_chars``) renewed.
 
-    A null text stays null and an empty one empty, both without spans; repeated
-    rows give repeated results.  An input column named ``pii_spans`` is dropped.
+    ``spans`` adds a last column, named ``pii_spans``, or ``pii_spans_`` and so
+    on where the input has one of that name.  A null text stays null and an empty
+    one empty, both without spans; repeated rows give repeated results; a text of
+    any length is replaced as a whole.
     """
     prepare(docs.sparkSession)
-    docs = docs.drop(SPANS)
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    fields = [T.StructField(f.name, T.LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema.fields]
-    return docs.mapInArrow(_replace_batches(key), T.StructType([*fields, T.StructField(SPANS, T.ArrayType(span))]))
+    added = fresh(docs, SPANS) if spans else []
+    fields = [T.StructField(f.name, f.dataType) for f in docs.schema.fields]
+    return docs.mapInArrow(_replace_batches(key, added), T.StructType([*fields, *[T.StructField(name, T.ArrayType(span)) for name in added]]))
