@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, prepare
+from .common import Scratch, fresh, prepare
 
 UNDETERMINED = "und"
 ORDERS = (4, 3, 2, 1)
@@ -167,7 +167,7 @@ class Scorer:
         return langs, scores
 
 
-def _score(model: Model, keep: list[str], added: tuple[str, str]):
+def _score(model: Model, keep: list[str], added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
@@ -186,16 +186,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(model, ["doc_id"], ("lang_pred", "score")), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(_score(model, ["doc_id"], ["lang_pred", "score"]), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, **bounds) -> DataFrame:
     """Documents whose language is determined with a score of ``least`` or more.
 
-    All columns stay; a null ``lang`` becomes the prediction.  The model is
+    All columns stay, whatever their names; a null ``lang`` becomes the prediction.  The model is
     fitted on the labelled rows of the same table.  One pass, no join.
     """
-    model, names, added = fit(docs, **bounds), docs.columns, ("_lang_pred", "_lang_score")
+    model, names, added = fit(docs, **bounds), docs.columns, fresh(docs, "lang_pred", "lang_score")
     schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
     kept = docs.mapInArrow(_score(model, names, added), schema).filter((F.col(added[0]) != UNDETERMINED) & (F.col(added[1]) >= least))
-    return kept.withColumn("lang", F.coalesce("lang", added[0])).select(*names)
+    return kept.withColumn("lang", F.coalesce("lang", added[0])).select(*[F.col(f"`{c}`") for c in names])

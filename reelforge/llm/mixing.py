@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, prepare
+from .common import WORD, Scratch, fresh, prepare, text_key
 
 #: The mix has about this many blocks, of at most MOST_WORDS words.
 BLOCKS = 100_000
@@ -95,7 +95,7 @@ def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, s
     """The mix with the source and shard of each row."""
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "mixing")
-    sized = scratch.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")))
+    sized = scratch.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), text_key().alias("text_key")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     aimed = targets(sources, weights, share, most)
     aimed = aimed.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(MOST_WORDS), F.floor(F.col("total") / BLOCKS))).cast("long"))
@@ -105,7 +105,7 @@ def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, s
 
     seeded = drawn(f"{seed}:", "doc_id")
     placed = sized.join(dealt.select(F.col("source").alias("_source"), "sid", "shards"), F.col("source").eqNullSafe(F.col("_source"))).select(
-        "sid", (F.conv(F.substring(drawn(f"{seed}:shard:", "doc_id"), 1, 8), 16, 10).cast("long") % F.col("shards")).cast("int").alias("shard"), "doc_id", "size", seeded.alias("seeded")
+        "sid", (F.conv(F.substring(drawn(f"{seed}:shard:", "doc_id"), 1, 8), 16, 10).cast("long") % F.col("shards")).cast("int").alias("shard"), "doc_id", "text_key", "size", seeded.alias("seeded")
     )
     cells = placed.groupBy("sid", "shard").agg(F.sum("size").alias("words")).join(dealt.select("sid", "source", "block", "source_size", "target", F.col("seats").alias("source_seats")), "sid")
     cells = seats(cells, "words", "source_seats", ["sid"], "shard")
@@ -113,9 +113,9 @@ def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, s
     cells = cells.withColumn("quota", quota).withColumn("passes", F.when(F.col("words") > 0, F.floor(F.col("quota") / F.col("words"))).otherwise(0).cast("long"))
     cells = scratch.put(cells.withColumn("rest", F.col("quota") - F.col("passes") * F.col("words")).select("sid", "source", "shard", "words", "block", "source_size", "target", "passes", "rest"))
 
-    line = Window.partitionBy("sid", "shard").orderBy("seeded", "doc_id", "size")
+    line = Window.partitionBy("sid", "shard").orderBy("seeded", "doc_id", "size", "text_key")
     laid = placed.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("size"))
-    laid = scratch.put(laid.select("sid", "shard", "doc_id", "size", "start", "end"))
+    laid = scratch.put(laid.select("sid", "shard", "doc_id", "text_key", "size", "start", "end"))
 
     row = Window.partitionBy("sid", "shard").orderBy(drawn(f"{seed}:block:", "sid", "shard", "number"), "number")
     cut = cells.filter("rest > 0").withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / F.col("block")))))
@@ -130,7 +130,7 @@ def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, s
     out = laid.join(cells.select("sid", "source", "shard", "source_size", "target", "passes"), ["sid", "shard"])
     out = out.join(extra.withColumnRenamed("size", "_one"), ["sid", "shard", "start"], "left")
     taken = F.when(F.col("size") > 0, F.col("passes") * F.col("size") + F.coalesce("extra", F.lit(0))).otherwise(0)
-    return out.select("sid", "source", "shard", "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("sid", "source", "shard", "doc_id", "text_key", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: int = 42) -> DataFrame:
@@ -141,17 +141,20 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     shortest, from a seeded start, and the document at which the sum passes a
     whole number appears once more: a shard's words stay within its longest
     document or so of those taken, and no document is favoured by its length.
-    Rows of one source that repeat a doc_id are one document here.  Wordless
-    rows belong to no source's quota and go.  All columns stay.
+    Rows of one source that repeat both doc_id and text are one document here;
+    other texts under the same doc_id are documents of their own.  Wordless rows
+    belong to no source's quota and go.  All columns stay, whatever their names.
     """
-    taken = _dealt(docs, weights, share, most, seed).filter("size > 0").groupBy("sid", "source", "shard", "doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    line = Window.partitionBy("sid", "shard").orderBy(F.desc("size"), drawn(f"{seed}:", "doc_id"), "doc_id")
+    key = ["sid", "source", "shard", "doc_id", "text_key"]
+    taken = _dealt(docs, weights, share, most, seed).filter("size > 0").groupBy(*key).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    line = Window.partitionBy("sid", "shard").orderBy(F.desc("size"), drawn(f"{seed}:", "doc_id"), "doc_id", "text_key")
     start = F.conv(F.substring(drawn(f"{seed}:copies:", "sid", "shard"), 1, 8), 16, 10).cast("double") / 2.0**32
     taken = taken.withColumns({"whole": F.floor(F.col("taken") / F.col("size")), "begin": start})
     part = F.sum((F.col("taken") - F.col("whole") * F.col("size")) / F.col("size")).over(line.rowsBetween(Window.unboundedPreceding, 0))
     passed = taken.withColumn("passed", F.floor(F.col("begin") + part))
     copies = F.col("whole") + F.col("passed") - F.lag("passed", 1, 0).over(line)
-    times = passed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), copies.cast("int").alias("_times")).filter("_times > 0")
-    names = docs.columns
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    own, of, told, times, copy = fresh(docs, "mix_id", "mix_source", "mix_text", "mix_times", "mix_copy")
+    chosen = passed.select(F.col("doc_id").alias(own), F.col("source").alias(of), F.col("text_key").alias(told), copies.cast("int").alias(times)).filter(F.col(times) > 0)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & F.col("source").cast("string").eqNullSafe(F.col(of)) & (text_key() == F.col(told))
+    joined = docs.join(chosen, same)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])

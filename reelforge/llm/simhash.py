@@ -12,16 +12,22 @@ each (two such errors in two segments would make four).  So the pairs
     (exact a, golay 3) and (golay a, exact 3)    catch the rest, for a in 1, 2:
 if segment 1 or 2 has two errors or more, the other two have one error together.
 Every pair at distance 3 or less is therefore found; the rest is removed by the
-verification.  For looser links (``max_bits`` above 3) the guarantee ends, and
-``anchors`` sets other keys: a document's smallest shingle hashes under several
-seeds, each with the Golay codewords of its own 16-bit segment of a longer
-fingerprint, so that a passage that a third of all documents share doesn't
-gather them in one bucket.
-
-Such loose links are only candidates.  ``keep_one`` gathers the shingle sets of
-each candidate group, in a grid of bounded blocks if it is large, and links two
-texts if the Jaccard similarity of their sets is high enough.  Two similar sets
-share one of the rarest shingles of each, which spares most comparisons.
+verification.
+
+For looser links, those of texts with enough shingles in common, the fingerprint
+is wider: ``WORDS`` words of 64 bits from independently mixed shingle hashes, cut
+into sixteen segments of 23 bits.  Texts with a Jaccard similarity of 0.8 differ in
+15 % of all bits, 3.5 in a segment; errors are spread, so some of the sixteen have
+few, and such a segment meets in a common codeword (two in five do at 0.8).  A key
+is the codeword together with the smallest shingle hash under the segment's seed,
+so that a passage that a third of all documents share doesn't gather them in one
+bucket.  One key in common makes a pair a candidate if the first two words differ
+in ``CANDIDATE_BITS`` or less; 99 % of the pairs at 0.8 are.
+
+``keep_one`` then gathers the shingle sets of each candidate group, in a grid of
+bounded blocks if it is large, and links two texts if the Jaccard similarity of
+their sets is high enough.  Two similar sets share one of the rarest shingles of
+each, which spares most comparisons.
 
 Buckets are matched in bounded blocks and give spanning forests, not pairs.
 """
@@ -36,19 +42,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, prepare
+from .common import Scratch, fresh, partitions, prepare, text_key
 from .graph import components
 
 #: Generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 of the Golay code.
 GOLAY_POLY = 0b101011100011
 #: Segments as (shift, bits).
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
-#: Bits of the segment that goes with an anchor.
-ANCHOR_BITS = 16
+#: Words of the wide fingerprint, and its segments.
+WORDS = 6
+WIDE = WORDS * 64 // 23
 #: Index rows of one key that one block may hold.
 BLOCK = 4096
-#: Differing bits of a candidate: at Jaccard 0.8, 10 of 64 are expected (12 in the shortest texts), give or take 3.
-CANDIDATE_BITS = 24
+#: Differing bits of a candidate among 128: at Jaccard 0.8, 19 are expected, give or take 4.
+CANDIDATE_BITS = 36
 #: Shingles in one part of a candidate group, and the rows up to which a block compares all its pairs.
 PART_SHINGLES = 1 << 20
 FEW = 16
@@ -113,10 +120,10 @@ def _pack(family: int, *parts: np.ndarray) -> np.ndarray:
     return key
 
 
-def fuzzy_keys(fp: np.ndarray, anchors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fuzzy_keys(fp: np.ndarray, wide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, key, is_query) of all keys of the fingerprints.
 
-    anchors: None, or (rows, 2 k): k anchor hashes, then the k segments.
+    wide: None, or (rows, 2 k): k smallest hashes, then the k segments.
     """
     every = np.arange(len(fp))
     rows, keys, sides = [], [], []
@@ -127,13 +134,13 @@ def fuzzy_keys(fp: np.ndarray, anchors: np.ndarray | None = None) -> tuple[np.nd
         sides.append(np.full(len(row), query, dtype=bool))
 
     table = decoder()
-    if anchors is not None:
-        half = anchors.shape[1] // 2
+    if wide is not None:
+        half = wide.shape[1] // 2
         for k in range(half):
-            segment = anchors[:, half + k].astype(np.uint32)
-            row, code = near_codes(segment, ANCHOR_BITS)
-            put(every, _pack(16 + k, anchors[:, k], table[segment]), False)
-            put(row, _pack(16 + k, anchors[row, k], code), True)
+            segment = wide[:, half + k].astype(np.uint32)
+            row, code = near_codes(segment)
+            put(every, _pack(16 + k, wide[:, k], table[segment]), False)
+            put(row, _pack(16 + k, wide[row, k], code), True)
         return np.concatenate(rows), np.concatenate(keys), np.concatenate(sides)
     parts = segments(fp)
     plain = [table[part] for part in parts]
@@ -187,66 +194,70 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(shingle: int, anchors: int):
+def wide_print(hashes: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """The words of the wide fingerprint; smallest hashes, then segments."""
+    seeds = mix64(np.arange(1, max(WORDS, WIDE) + 1, dtype=np.uint64))
+    words = [fingerprint(hashes if k == 0 else mix64(hashes + seeds[k])) for k in range(WORDS)]
+    whole = sum(word << 64 * k for k, word in enumerate(words))
+    low = [int(mix64(hashes ^ seed).min()) if len(hashes) else 0 for seed in seeds[:WIDE]]
+    return words, np.array(low + [whole >> 23 * k & (1 << 23) - 1 for k in range(WIDE)], dtype=np.uint64)
+
+
+def _fingerprints(shingle: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = mix64(np.arange(1, anchors + 1, dtype=np.uint64))
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            fps = np.zeros(len(texts), dtype=np.uint64)
-            lows = np.zeros((len(texts), 2 * anchors), dtype=np.uint64)
+            fps, more = np.zeros((2, len(texts)), dtype=np.uint64)
+            wides = np.zeros((len(texts), 2 * WIDE), dtype=np.uint64)
             nodes = np.zeros(len(texts), dtype=np.uint64)
             sizes = np.zeros(len(texts), dtype=np.int64)
-            each = 64 // ANCHOR_BITS
             for i, text in enumerate(texts):
                 hashes = shingle_hashes(text, shingle)
-                if anchors:
-                    hashes = np.unique(hashes)
-                    nodes[i], sizes[i] = xxhash.xxh64_intdigest(hashes.tobytes()), len(hashes)
-                fps[i] = fingerprint(hashes)
-                longer = 0
-                for k in range(anchors if len(hashes) else 0):
-                    lows[i, k] = mix64(hashes ^ seeds[k]).min()
-                    if k % each == 0:  # further words of the fingerprint from mixed hashes
-                        longer = int(fps[i]) if k == 0 else fingerprint(mix64(hashes + seeds[k]))
-                    lows[i, anchors + k] = longer >> ANCHOR_BITS * (k % each) & (1 << ANCHOR_BITS) - 1
+                if not wide:
+                    fps[i] = fingerprint(hashes)
+                    continue
+                hashes = np.unique(hashes)
+                nodes[i], sizes[i] = xxhash.xxh64_intdigest(hashes.tobytes()), len(hashes)
+                (fps[i], more[i], *_), wides[i] = wide_print(hashes)
             columns = [batch.column("doc_id"), pa.array(fps.view(np.int64))]
             names = ["doc_id", "fp"]
-            if anchors:
-                columns += [pa.array(list(lows.view(np.int64)), type=pa.list_(pa.int64())), pa.array(nodes.view(np.int64)), pa.array(sizes), batch.column("text")]
-                names += ["anchors", "node", "size", "text"]
+            if wide:
+                columns += [pa.array(more.view(np.int64)), pa.array(list(wides.view(np.int64)), type=pa.list_(pa.int64())), pa.array(nodes.view(np.int64)), pa.array(sizes), batch.column("text")]
+                names += ["more", "wide", "node", "size", "text"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, anchors: int = 0) -> DataFrame:
-    """doc_id, fp long (the unsigned bits) and, if asked for, anchors array<long>.
+def fingerprints(docs: DataFrame, shingle: int = 3, wide: bool = False) -> DataFrame:
+    """doc_id, fp long (the unsigned bits) and, if asked for, what keys need.
 
-    With anchors, a repeated shingle counts once; ``node`` is a hash of the set
-    of shingles and ``size`` their number, and the text comes along.  A null or
-    wordless text has fingerprint zero.
+    ``wide`` counts a repeated shingle once and adds ``more`` (the second word of
+    the wide fingerprint), ``wide`` (smallest hashes and segments), ``node`` (a
+    hash of the set of shingles), ``size`` (their number) and the text.  A null
+    or wordless text has fingerprint zero.
     """
-    schema = "doc_id long, fp long" + (", anchors array<long>, node long, size long, text string" if anchors else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(shingle, anchors), schema)
+    schema = "doc_id long, fp long" + (", more long, wide array<long>, node long, size long, text string" if wide else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(shingle, wide), schema)
 
 
-def _emit(anchored: bool, with_queries: bool):
+def _emit(wide: bool, with_queries: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            low = None
-            if anchored:
-                flat = batch.column("anchors").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                low = flat.reshape(len(fp), -1)
             if not len(fp):
                 continue
+            low, words = None, [fp.view(np.int64)]
+            if wide:
+                low = batch.column("wide").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(fp), -1)
+                words.append(batch.column("more").to_numpy(zero_copy_only=False))
             row, key, query = fuzzy_keys(fp, low)
             if not with_queries:
                 row, key, query = row[~query], key[~query], query[~query]
             for at in range(0, len(row), 1 << 16):
                 part = slice(at, at + (1 << 16))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[part].view(np.int64)), pa.array(query[part]), pa.array(fp[row[part]].view(np.int64))], names=["key", "query", "fp"]
+                    [pa.array(key[part].view(np.int64)), pa.array(query[part]), *[pa.array(w[row[part]]) for w in words]], names=["key", "query", "fp", "more"][: 2 + len(words)]
                 )
 
     return run
@@ -278,7 +289,7 @@ def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _match(max_bits: int):
     """Sorted by (key, block, query): index rows of a bucket, then its queries."""
 
-    def pairs(index: np.ndarray, query: np.ndarray, i_start, i_count, q_start, q_count):
+    def pairs(words: list[np.ndarray], i_start, i_count, q_start, q_count):
         """Linked pairs of buckets given by their ranges, in bounded chunks."""
         size = i_count * q_count
         bounds = np.concatenate([[0], np.cumsum(size)])
@@ -287,12 +298,15 @@ def _match(max_bits: int):
             flat = np.arange(at, min(at + PAIRS, total))
             bucket = np.searchsorted(bounds, flat, side="right") - 1
             inner = flat - bounds[bucket]
-            x = index[i_start[bucket] + inner % i_count[bucket]]
-            y = query[q_start[bucket] + inner // i_count[bucket]]
-            near = (np.bitwise_count(x ^ y) <= max_bits) & (x != y)
+            i, j = i_start[bucket] + inner % i_count[bucket], q_start[bucket] + inner // i_count[bucket]
+            differ = np.zeros(len(flat), dtype=np.int64)
+            for word in words:
+                differ += np.bitwise_count(word[i] ^ word[j])
+            x, y = words[0][i], words[0][j]
+            near = (differ <= max_bits) & (x != y)
             yield local_forest(x[near].view(np.int64), y[near].view(np.int64))
 
-    def solve(key, block, query, fp):
+    def solve(key, block, query, *words):
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
         start = np.flatnonzero(new)
@@ -301,15 +315,15 @@ def _match(max_bits: int):
         useful = (asked > 0) & (asked < count)
         start, count, asked = start[useful], count[useful], asked[useful]
         if len(start):
-            yield from pairs(fp, fp, start, count - asked, start + count - asked, asked)
+            yield from pairs(words, start, count - asked, start + count - asked, asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            now = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "block", "query", "fp")]
-            now[3] = now[3].view(np.uint64)
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            now[3:] = [word.view(np.uint64) for word in now[3:]]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            key, block, query, fp = held
+            key, block = held[:2]
             if not len(key):
                 continue
             last = int(np.flatnonzero((key != key[-1]) | (block != block[-1]))[-1]) + 1 if ((key != key[-1]) | (block != block[-1])).any() else 0
@@ -329,17 +343,18 @@ def _match(max_bits: int):
     return run
 
 
-def linked(spark: SparkSession, prints: DataFrame, max_bits: int, anchored: bool = False) -> DataFrame:
-    """Distinct fingerprints -> (u, v) edges whose components are exact.
+def linked(spark: SparkSession, prints: DataFrame, max_bits: int, wide: bool = False) -> DataFrame:
+    """Distinct fingerprints -> (u, v) edges whose components are those of all
+    links that share a key (without ``wide`` and for 3 bits: of all links).
 
     Hot keys (more than BLOCK index rows) are dealt as a grid of blocks: index
     rows by hash to a row of the grid, queries by hash to a column, and each
     side is copied along the other, so that all pairs still meet.
     """
-    columns = ["fp", "anchors"] if anchored else ["fp"]
-    schema = "key long, query boolean, fp long"
-    rows = prints.select(*columns).mapInArrow(_emit(anchored, True), schema)
-    index = prints.select(*columns).mapInArrow(_emit(anchored, False), schema)
+    words = ["fp", "more"] if wide else ["fp"]
+    schema = "key long, query boolean, " + ", ".join(f"{w} long" for w in words)
+    source = prints.select(*words, "wide") if wide else prints.select("fp")
+    rows, index = (source.mapInArrow(_emit(wide, queries), schema) for queries in (True, False))
     scratch = Scratch(spark, "simhash")
     hot = scratch.put(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("side")))
     side = F.coalesce("side", F.lit(1))
@@ -347,14 +362,14 @@ def linked(spark: SparkSession, prints: DataFrame, max_bits: int, anchored: bool
     every = F.when(side == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), side - 1))
     dealt = (
         rows.join(hot, "key", "left")
-        .select("key", "query", "fp", own.alias("own"), side.alias("side"), F.explode(every).alias("other"))
-        .select("key", "query", "fp", F.when(F.col("query"), F.col("other") * F.col("side") + F.col("own")).otherwise(F.col("own") * F.col("side") + F.col("other")).alias("block"))
+        .select("key", "query", *words, own.alias("own"), side.alias("side"), F.explode(every).alias("other"))
+        .select("key", "query", *words, F.when(F.col("query"), F.col("other") * F.col("side") + F.col("own")).otherwise(F.col("own") * F.col("side") + F.col("other")).alias("block"))
     )
     n = partitions(spark)
     return (
         dealt.repartition(n, "key", "block")
         .sortWithinPartitions("key", "block", "query")
-        .select("key", "block", "query", "fp")
+        .select("key", "block", "query", *words)
         .mapInArrow(_match(max_bits), "u long, v long")
     )
 
@@ -473,23 +488,30 @@ def similar(spark: SparkSession, each: DataFrame, groups: DataFrame, shingle: in
     return dealt.repartition(partitions(spark), "label", "block").sortWithinPartitions("label", "block").mapInArrow(_verify(shingle, similarity), "u long, v long")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, anchors: int = 12) -> DataFrame:
-    """Documents with one row of each near-duplicate group kept.
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Documents with one of each near-duplicate group kept.
 
     Texts link when the Jaccard similarity of their sets of shingles reaches
-    ``similarity``; SimHash and anchors only find the candidates.  Kept is the
-    row with the smallest doc_id of its group; rows that repeat a doc_id are one
-    document and share its fate.  Texts without words aren't compared and stay.
-    All columns stay.
+    ``similarity``; SimHash only finds the candidates.  Kept is the text with the
+    smallest doc_id of its group (a null one last, ties to the smaller hash of
+    the text).  Rows that repeat both doc_id and text share their fate; other
+    texts under the same doc_id are documents of their own.  Texts without words
+    aren't compared and stay.  All columns stay, whatever their names.
     """
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "keep-one")
     worded = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    each = scratch.put(fingerprints(worded, shingle, anchors))
-    prints = scratch.put(each.select("fp", "anchors").distinct())
+    each = scratch.put(fingerprints(worded, shingle, True).withColumn("text_key", text_key()))
+    prints = scratch.put(each.select("fp", "more", "wide").distinct())
     groups = components(spark, linked(spark, prints, CANDIDATE_BITS, True)).withColumnRenamed("node", "fp")
     labels = components(spark, similar(spark, each, groups, shingle, similarity))
-    found = scratch.put(each.select("doc_id", "node").distinct().join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label")))
-    lows = scratch.put(found.groupBy("label").agg(F.min("doc_id").alias("low")))
-    found = scratch.put(found.join(lows, "label").filter("doc_id <> low").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    found = each.select("doc_id", "text_key", "node").distinct().join(labels, "node", "left").select(rank.alias("rank"), F.coalesce("label", "node").alias("label"))
+    found = scratch.put(found)
+    lows = scratch.put(found.groupBy("label").agg(F.min("rank").alias("low"), F.count("*").alias("n")).filter("n > 1"))
+    gone = found.join(lows, "label").filter(~F.col("rank").eqNullSafe(F.col("low"))).select("rank.doc_id", "rank.text_key").distinct()
+    gone = scratch.put(gone)
+    key, own = fresh(docs, "text_key", "gone_id")
+    gone = gone.select(F.col("doc_id").alias(own), F.col("text_key").alias(key))
+    left = docs.withColumn(key, text_key()).alias("doc").join(gone.alias("gone"), F.col(f"doc.{key}").eqNullSafe(F.col(f"gone.{key}")) & F.col("doc.doc_id").cast("long").eqNullSafe(F.col(f"gone.{own}")), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -58,3 +58,13 @@ def test_stage_drops_the_undetermined(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [*range(120), 901]
     assert kept.filter("doc_id = 901").first().lang == "en"
+
+
+def test_keep_identified_with_clashing_columns(spark):
+    rows = [(i, "the cat and the dog" if i % 2 else "le chat et le chien", "en" if i % 2 else "fr", i, "x", 0.5) for i in range(40)]
+    rows += [(90, "the dog", None, 90, "y", 0.5), (91, None, "en", 91, "y", 0.5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, _lang_pred int, lang_pred string, lang_score double")
+    got = langid.keep_identified(frame)
+    assert got.columns == frame.columns
+    found = {r.doc_id: r for r in got.collect()}
+    assert sorted(found) == [*range(40), 90] and found[90].lang == "en" and found[90].lang_pred == "y" and found[7]._lang_pred == 7

@@ -112,3 +112,18 @@ def test_mixed_words_meet_targets(spark):
         for n in (250, 1500):  # and no length is favoured
             had = sum(len(t) // 2 for _, t, source, _ in rows if source == s and len(t) // 2 == n)
             assert abs(longest.get((s, n), 0) / had - aim[s] / sizes[s]) <= 0.35
+
+
+def test_mixed_keeps_clashing_columns_and_texts_of_one_id(spark):
+    rows = [(i // 2, f"{'w ' * (3 + i % 2)}t{i}", "a" if i % 4 < 2 else None, i, -i, 2 * i, "k") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _id int, _times int, _copy int, mix_copy string")
+    got = mixing.mixed(frame)
+    assert got.columns == frame.columns
+    found, taken = got.collect(), {}
+    for r in found:
+        assert (r._times, r._copy, r.mix_copy) == (-r._id, 2 * r._id, "k") and r.text == rows[r._id][1]
+        taken[r._id] = taken.get(r._id, 0) + 1
+    words = {s: sum(len(rows[i][1].split()) * n for i, n in taken.items() if rows[i][2] == s) for s in ("a", None)}
+    aim = brute_targets({s: sum(len(t.split()) for _, t, source, *_ in rows if source == s) for s in ("a", None)})
+    assert all(abs(words[s] - aim[s]) <= 30 for s in words)
+    assert any(taken.get(i, 0) != taken.get(i + 1, 0) for i in range(0, 400, 2))  # texts of one id are dealt apart

@@ -139,3 +139,33 @@ def test_links_have_the_jaccard(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == want
     monkeypatch.setattr(simhash, "PART_SHINGLES", 3000)  # groups dealt in parts
     assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == want
+
+
+def test_recall_at_the_threshold(spark):
+    """Candidates of pairs with a Jaccard of 0.8 to 0.83, in texts of many lengths."""
+    rng = random.Random(12)
+    rows, pairs = [], 0
+    for n in (45, 100, 250, 800):
+        made = 0
+        while made < 60:
+            words = [f"w{rng.randrange(100_000)}" for _ in range(n)]
+            edited = list(words)
+            for at in rng.sample(range(n), k=max(1, round(n * 0.021) + rng.randrange(2))):
+                edited[at] = "x"
+            a, b = shingles(" ".join(words)), shingles(" ".join(edited))
+            if 0.8 <= len(a & b) / len(a | b) <= 0.83:
+                made += 1
+                rows += [(len(rows), " ".join(words), ""), (len(rows) + 1, " ".join(edited), "")]
+        pairs += made
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).count()
+    assert len(rows) - kept >= 0.95 * pairs
+
+
+def test_one_id_on_two_texts_and_clashing_columns(spark):
+    rng = random.Random(13)
+    one, two = (" ".join(f"w{rng.randrange(1000)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, one, 1, 1, 1), (2, one, 2, 2, 2), (2, two, 3, 3, 3), (None, one, 4, 4, 4), (None, two + " x", 5, 5, 5), (3, "same", 6, 6, 6), (3, "same", 7, 7, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _gone int, text_key int, gone_id int")
+    got = simhash.keep_one(frame)
+    assert got.columns == frame.columns
+    assert sorted(r._gone for r in got.collect()) == [1, 3, 6, 7]
