@@ -26,7 +26,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced in the text."""
-    return pii.pseudonymise(docs, PII_KEY).drop(pii.SPANS)
+    return pii.pseudonymise(docs, PII_KEY, spans=False)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
