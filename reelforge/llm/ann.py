@@ -9,9 +9,10 @@ double precision on the original vectors.
 Centroids and code books are fitted on a bounded sample of ``SAMPLE`` rows; so is
 the number of probed cells, as the least one that holds ``SOUGHT`` of the true
 neighbours of sample queries.  Every row is indexed.  Cells are packed into
-shards of about ``SHARD`` rows, a larger cell split over several; queries are
-cut into chunks, and a shard meets a chunk in one bounded group, which returns
-the k best of each query.
+shards of about ``SHARD`` rows, a larger cell split over several.  Only the codes
+of a row travel to its shard, and a query to each shard that holds a cell it
+probes; there the shard's codes stay while its queries stream past.  Their best
+rows by the tables meet the original vectors in a join, for the exact rerank.
 """
 
 from __future__ import annotations
@@ -21,24 +22,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare
+from .common import Scratch, partitions, prepare
 from .vectors import matrix, valid
 
 SAMPLE = 16_384
-PARTS = 16
+PARTS = 32
 WORDS = 256
 ROUNDS = 8
 #: Share of the sample's true neighbours that the probed cells must hold.
 SOUGHT = 0.98
-#: Candidates scored for each query at least, rows of a shard, queries of a
-#: chunk, and candidates of each shard that are reranked exactly.
+#: Candidates scored for each query at least, rows of a shard, and queries that
+#: one group meets: the most, and the fewest when there are more tasks than work.
 CANDIDATES = 1024
-SHARD = 8192
-CHUNK = 2048
-RERANK = 200
+SHARD = 65_536
+CHUNK = 65_536
+LEAST_CHUNK = 64
+#: Candidates of a query that are reranked exactly, times k where k is large.
+RERANK = 160
+#: Queries that a kernel scores at once.
+BATCH = 64
 
 
 def kmeans(points: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -65,27 +70,27 @@ def nearest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Quantiser:
-    """centroids (cells, d); books (PARTS, words, d / PARTS); probes."""
+    """centroids (cells, d); books (parts, words, d / parts); probes."""
 
     centroids: np.ndarray
     books: np.ndarray
     probes: int
-    width: int
 
     def pad(self, vectors: np.ndarray) -> np.ndarray:
-        extra = -vectors.shape[1] % PARTS
+        extra = -vectors.shape[1] % len(self.books)
         return np.pad(vectors, ((0, 0), (0, extra)))
 
     def cell(self, vectors: np.ndarray) -> np.ndarray:
         return nearest(unit(vectors), self.centroids)
 
     def codes(self, vectors: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        rest = self.pad(vectors - self.centroids[cell]).reshape(len(vectors), PARTS, -1)
-        return np.stack([nearest(rest[:, m], self.books[m]) for m in range(PARTS)], axis=1).astype(np.uint8)
+        parts = len(self.books)
+        rest = self.pad(vectors - self.centroids[cell]).reshape(len(vectors), parts, -1)
+        return np.stack([nearest(rest[:, m], self.books[m]) for m in range(parts)], axis=1).astype(np.uint8)
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
-        """(queries, PARTS, words) inner products with the code words."""
-        parts = self.pad(queries).reshape(len(queries), PARTS, -1)
+        """(queries, parts, words) inner products with the code words."""
+        parts = self.pad(queries).reshape(len(queries), len(self.books), -1)
         return np.einsum("qmd,mwd->qmw", parts, self.books).astype(np.float32)
 
     def probed(self, queries: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
@@ -108,10 +113,11 @@ def fit(sample: np.ndarray, rows: int, k: int) -> Quantiser:
     cells = int(min(4096, max(16, 2 ** round(np.log2(max(1, rows)) / 2)), max(1, len(sample) // 8)))
     units = unit(sample)
     centroids = kmeans(units, cells)
-    out = Quantiser(centroids, np.zeros((PARTS, 1, 1)), len(centroids), sample.shape[1])
+    parts = min(PARTS, sample.shape[1])
+    out = Quantiser(centroids, np.zeros((parts, 1, 1)), len(centroids))
     cell = out.cell(sample)
-    rest = out.pad(sample - centroids[cell]).reshape(len(sample), PARTS, -1)
-    books = [kmeans(rest[: SAMPLE // 2, m], WORDS, seed=m) for m in range(PARTS)]
+    rest = out.pad(sample - centroids[cell]).reshape(len(sample), parts, -1)
+    books = [kmeans(rest[: SAMPLE // 2, m], WORDS, seed=m) for m in range(parts)]
     words = max(map(len, books))
     out.books = np.stack([np.concatenate([b, np.repeat(b[:1], words - len(b), axis=0)]) for b in books])
     # Where the true neighbours of sample queries lie among the cells' order.
@@ -143,119 +149,167 @@ def shards_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(first, dtype=np.int64), np.array(many, dtype=np.int64)
 
 
-def _encode(model: Quantiser):
+def _encode(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             vectors = matrix(batch.column("vector"))
-            cell = model.cell(vectors)
-            codes = model.codes(vectors, cell)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("vector")], names=["vec_id", "cell", "codes", "vector"])
+            cell = model.value.cell(vectors)
+            codes = model.value.codes(vectors, cell)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["row", "vec_id", "cell", "codes"])
 
     return run
 
 
-def _route(model: Quantiser, sizes: np.ndarray, first: np.ndarray, many: np.ndarray, chunks: int):
-    """Each query once for every shard that holds one of its probed cells."""
+def _route(model, sizes: np.ndarray, first: np.ndarray, many: np.ndarray):
+    """Each query once for every shard that holds one of its probed cells, with
+    the number of these shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = int((first + many).max())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                mask = model.probed(matrix(part.column("vector")), sizes, CANDIDATES)
+                mask = model.value.probed(matrix(part.column("vector")), sizes, CANDIDATES)
                 hit = np.zeros((part.num_rows, total + 1), dtype=np.int32)
                 for step, sign in ((first, 1), (first + many, -1)):
                     for cell in range(len(sizes)):
                         hit[mask[:, cell], step[cell]] += sign
                 row, shard = np.nonzero(np.cumsum(hit, axis=1)[:, :total] > 0)
-                ids = part.column("vec_id").to_numpy()
+                spread = np.bincount(row, minlength=part.num_rows)[row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.astype(np.int32)), pa.array((ids[row] // 20 % chunks).astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("vector").take(pa.array(row))],
-                    names=["shard", "chunk", "query_id", "vector"],
+                    [pa.array(shard.astype(np.int32)), part.column("row").take(pa.array(row)), pa.array(spread.astype(np.int32)), part.column("vector").take(pa.array(row))],
+                    names=["shard", "row", "spread", "vector"],
                 )
 
     return run
 
 
-def _search(model: Quantiser, sizes: np.ndarray, k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        if not rows.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        ids = rows.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")  # ties go to the smaller vec_id
-        ids, cell = ids[order], rows.column("cell").to_numpy()[order]
-        codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), dtype=np.uint8).reshape(-1, PARTS)[order]
-        vectors = matrix(rows.column("vector"))[order]
-        members = [(c, np.flatnonzero(cell == c)) for c in np.unique(cell).tolist()]
-        asked, asking = queries.column("query_id").to_numpy(), matrix(queries.column("vector"))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for at in range(0, len(asked), 256):
-            q = asking[at : at + 256]
-            mask, near, tables = model.probed(q, sizes, CANDIDATES), q @ model.centroids.T, model.tables(q)
-            score = np.full((len(q), len(ids)), -np.inf, dtype=np.float32)
-            for c, own in members:
+def best_of(line: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the ``keep`` greatest finite scores; ties to the first places."""
+    keep = min(keep, int((line > -np.inf).sum()))
+    if not keep:
+        return np.zeros(0, dtype=np.int64)
+    edge = np.partition(line, len(line) - keep)[len(line) - keep]
+    above = np.flatnonzero(line > edge)
+    return np.concatenate([above, np.flatnonzero(line == edge)[: keep - len(above)]])
+
+
+def _search(model, sizes: np.ndarray, k: int):
+    """Sorted by (shard, chunk, codes before queries, vec_id): a shard's codes
+    stay, its queries stream past; the best candidates of each by the tables."""
+    schema = pa.schema([("asker", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("about", pa.float32())])
+    rerank = max(RERANK, 2 * k)
+
+    class Shard:
+        def __init__(self, parts: list[pa.RecordBatch]):
+            part = pa.Table.from_batches(parts)
+            self.row, self.vec_id = part.column("row").to_numpy(), part.column("vec_id").to_numpy()
+            cell = part.column("cell").to_numpy()
+            self.codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), dtype=np.uint8).reshape(len(cell), -1).T.copy()
+            self.members = [(c, np.flatnonzero(cell == c)) for c in np.unique(cell).tolist()]
+            self.place = np.argsort(self.row, kind="stable")
+            self.sorted = self.row[self.place]
+
+        def answer(self, part: pa.RecordBatch) -> pa.RecordBatch:
+            q, asker, spread = matrix(part.column("vector")), part.column("row").to_numpy(), part.column("spread").to_numpy()
+            mask, near, tables = model.value.probed(q, sizes, CANDIDATES), q @ model.value.centroids.T, model.value.tables(q)
+            score = np.full((len(q), len(self.row)), -np.inf, dtype=np.float32)
+            for c, own in self.members:
                 who = np.flatnonzero(mask[:, c])
-                if not len(who):
+                if len(who):
+                    total = np.repeat(near[who, c][:, None], len(own), axis=1).astype(np.float32)
+                    for m, code in enumerate(self.codes):
+                        total += tables[who, m][:, code[own]]
+                    score[np.ix_(who, own)] = total
+            at = np.minimum(np.searchsorted(self.sorted, asker), len(self.sorted) - 1)
+            self_ = np.flatnonzero(self.sorted[at] == asker)  # a query isn't its own candidate
+            score[self_, self.place[at[self_]]] = -np.inf
+            best = [best_of(line, max(2 * k, min(rerank, -(-2 * rerank // int(n))))) for line, n in zip(score, spread, strict=True)]
+            flat = np.concatenate(best)
+            who = np.repeat(np.arange(len(q)), [len(b) for b in best])
+            return pa.RecordBatch.from_arrays([pa.array(asker[who]), pa.array(self.row[flat]), pa.array(self.vec_id[flat]), pa.array(score[who, flat])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, shard = None, [], None
+        for batch in batches:
+            group = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("shard", "chunk", "asks")])
+            cuts = (np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist()
+            for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if start == end:
                     continue
-                total = np.repeat(near[who, c][:, None], len(own), axis=1).astype(np.float32)
-                for m in range(PARTS):
-                    total += tables[who, m][:, codes[own, m]]
-                score[np.ix_(who, own)] = total
-            for i in range(len(q)):
-                mine, line = asked[at + i], score[i]
-                line[np.searchsorted(ids, mine) : np.searchsorted(ids, mine, side="right")] = -np.inf
-                seen = int((line > -np.inf).sum())
-                if not seen:
+                key = tuple(group[:2, start].tolist())
+                if key != now:
+                    now, held, shard = key, [], None
+                if not group[2, start]:
+                    held.append(batch.slice(start, end - start))
                     continue
-                keep = min(RERANK, seen)
-                edge = np.partition(line, len(line) - keep)[len(line) - keep]
-                above = np.flatnonzero(line > edge)
-                best = np.concatenate([above, np.flatnonzero(line == edge)[: keep - len(above)]])
-                exact = (vectors[best] * q[i]).sum(axis=1)
-                top = np.lexsort((ids[best], -exact))[:k]
-                found.append((np.full(len(top), mine), ids[best[top]], exact[top]))
-        if not found:
-            return schema.empty_table()
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], schema=schema)
+                if shard is None and held:
+                    shard, held = Shard(held), []
+                for at in range(start, end if shard else start, BATCH):
+                    yield shard.answer(batch.slice(at, min(BATCH, end - at)))
 
     return run
 
 
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The exact inner product of each candidate with its query."""
+    for batch in batches:
+        if batch.num_rows:
+            score = (matrix(batch.column("vector")) * matrix(batch.column("asking"))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("asker"), batch.column("query_id"), batch.column("vec_id"), batch.column("row"), pa.array(score)], names=["asker", "query_id", "vec_id", "row", "score"])
+
+
+def _search_length(spark: SparkSession, scratch: Scratch, sound: DataFrame, n: int, k: int) -> DataFrame:
+    """asker, query_id, vec_id, row, score of reranked candidates; vectors of one length."""
+    drawn = sound.select("vector", F.xxhash64("row").alias("h")).orderBy("h").limit(SAMPLE).select("vector").toArrow()
+    fitted = fit(matrix(drawn.column("vector")), n, k)
+    model = spark.sparkContext.broadcast(fitted)  # at most 4096 centroids and PARTS books
+    index = scratch.put(sound.mapInArrow(_encode(model), "row long, vec_id long, cell int, codes binary"))
+    sizes = np.zeros(len(fitted.centroids), dtype=np.int64)
+    for r in index.groupBy("cell").count().collect():  # at most 4096 cells
+        sizes[r["cell"]] = r["count"]
+    first, many = shards_of(sizes)
+    asking = sound.filter("asks")
+    shards, asked = int((first + many).max()), max(1, asking.count())
+    chunks = max(-(-asked // CHUNK), min(-(-asked // LEAST_CHUNK), -(-2 * partitions(spark) // shards)))
+    start, parts = F.array(*[F.lit(int(x)) for x in first]), F.array(*[F.lit(int(x)) for x in many])
+    shard = (start[F.col("cell")] + F.pmod(F.xxhash64("row"), parts[F.col("cell")])).cast("int")
+    codes = index.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"), "row", "vec_id", "cell", "codes", F.lit(None).cast("int").alias("spread"), F.lit(None).cast(sound.schema["vector"].dataType).alias("vector"))
+    routed = asking.select("row", "vector").mapInArrow(_route(model, sizes, first, many), sound.select(F.lit(0).alias("shard"), "row", F.lit(0).alias("spread"), "vector").schema)
+    chunk = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(chunks)).cast("int")
+    queries = routed.select("shard", chunk.alias("chunk"), F.lit(True).alias("asks"), "row", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("int").alias("cell"), F.lit(None).cast("binary").alias("codes"), "spread", "vector")
+    dealt = codes.unionByName(queries).repartition(partitions(spark), "shard", "chunk").sortWithinPartitions("shard", "chunk", "asks", "vec_id", "row")
+    found = dealt.mapInArrow(_search(model, sizes, k), "asker long, row long, vec_id long, about float")
+    order = Window.partitionBy("asker").orderBy(F.desc("about"), "vec_id", "row")
+    near = scratch.put(found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(RERANK, 2 * k)).select("asker", "row"))
+    asking = asking.select(F.col("row").alias("asker"), F.col("vec_id").alias("query_id"), F.col("vector").alias("asking"))
+    pairs = near.join(sound.select("row", "vec_id", "vector"), "row").join(asking, "asker")
+    return pairs.select("asker", "query_id", "vec_id", "row", "vector", "asking").mapInArrow(_exact, "asker long, query_id long, vec_id long, row long, score double")
+
+
 def search(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query.
 
     rows: vec_id and embedding; ``is_query`` tells the queries among them.  Near
     is a large inner product; ties go to the smaller vec_id.  Vectors that are
-    null, zero or hold null or non-finite components, or whose length isn't the
-    most frequent one, take no part, nor do rows without a vec_id.  Rows that
-    repeat a vec_id count once.  Other columns are ignored.
+    null, zero or hold null or non-finite components take no part, nor do rows
+    without a vec_id.  Vectors of one length are searched among themselves (an
+    index for each length).  Rows that repeat a vec_id are candidates and queries
+    of their own, and a query leaves out only its own row.  Other columns are
+    ignored.
     """
     spark = prepare(rows.sparkSession)
     scratch = Scratch(spark, "ann")
-    sound = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), is_query.alias("asks"))
-    sound = sound.filter(F.col("vec_id").isNotNull() & valid("vector"))
-    lengths = sound.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").first()
-    if lengths is None:
+    sound = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    sound = scratch.put(sound.filter(F.col("vec_id").isNotNull() & valid("vector")).withColumn("row", F.monotonically_increasing_id()))
+    lengths = sound.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n"), F.count_if("asks").alias("asks")).filter("asks > 0").orderBy("length").collect()
+    found = None
+    for of in lengths:  # as many as there are lengths of vectors
+        part = _search_length(spark, scratch, sound.filter(F.size("vector") == of["length"]), of["n"], k)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sound = sound.filter(F.size("vector") == lengths["length"]).dropDuplicates(["vec_id"])
-    drawn = sound.select("vector", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(SAMPLE).select("vector").toArrow()
-    model = fit(matrix(drawn.column("vector")), lengths["n"], k)
-
-    index = scratch.put(sound.select("vec_id", "vector").mapInArrow(_encode(model), "vec_id long, cell int, codes binary, vector array<double>"))
-    sizes = np.zeros(len(model.centroids), dtype=np.int64)
-    for r in index.groupBy("cell").count().collect():  # at most 4096 cells
-        sizes[r["cell"]] = r["count"]
-    first, many = shards_of(sizes)
-    asking = sound.filter("asks").select("vec_id", "vector")
-    chunks = max(1, -(-asking.count() // CHUNK))
-    routed = asking.mapInArrow(_route(model, sizes, first, many, chunks), "shard int, chunk int, query_id long, vector array<double>")
-    start, parts = F.array(*[F.lit(int(x)) for x in first]), F.array(*[F.lit(int(x)) for x in many])
-    dealt = index.withColumn("shard", (start[F.col("cell")] + F.pmod(F.xxhash64("vec_id"), parts[F.col("cell")])).cast("int"))
-    dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    found = dealt.groupBy("shard", "chunk").cogroup(routed.groupBy("shard", "chunk")).applyInArrow(_search(model, sizes, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

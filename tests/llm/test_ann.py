@@ -7,8 +7,8 @@ SCHEMA = "vec_id long, embedding array<float>, rank string"
 ASKS = "vec_id % 20 = 0"
 
 
-def brute(rows, k):
-    sound = {i: np.array(v, dtype=np.float32).astype(np.float64) for i, v, _ in rows if i is not None and v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+def brute(rows, k, length=16):
+    sound = {i: np.array(v, dtype=np.float32).astype(np.float64) for i, v, _ in rows if i is not None and v is not None and len(v) == length and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     return {q: sorted(((-float((sound[q] * v).sum()), i) for i, v in sound.items() if i != q))[:k] for q in sound if q % 20 == 0}
 
 
@@ -34,7 +34,6 @@ def test_recall_and_ranks(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD", 300)
     monkeypatch.setattr(ann, "CHUNK", 40)
     rows = sample(2500)
-    rows.append(rows[-1])
     want, got = brute(rows, 20), search(spark, rows)
     assert got.keys() == want.keys()
     hits = 0
@@ -49,10 +48,11 @@ def test_recall_and_ranks(spark, monkeypatch):
 
 def test_small_tables_are_exact(spark):
     rows = sample(30)
-    want = brute(rows, 40)
+    want = brute(rows, 40) | brute(rows[:7], 40, 15)
     got = search(spark, rows, 40)
+    got.setdefault(100, [])  # the only vector of its length
     assert {q: [r[1] for r in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
-    assert search(spark, rows[:7]) == {} and search(spark, []) == {}
+    assert search(spark, rows[:4]) == {} and search(spark, []) == {}
     assert search(spark, [(20, [1.0] * 16, "")]) == {}
 
 
@@ -61,3 +61,25 @@ def test_shards():
     first, many = ann.shards_of(sizes)
     assert many.tolist() == [1, 1, 4, 1, 1]
     assert first.tolist() == [0, 1, 2, 6, 6]
+
+
+def test_rows_of_one_id_and_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=16 if i % 3 else 5).tolist(), "") for i in range(1, 90)]
+    rows += [(40, rng.normal(size=16).tolist(), ""), (40, rows[39][1], ""), (41, rows[40][1], "")]
+    want = []
+    vectors = [np.array(v, dtype=np.float32).astype(np.float64) for _, v, _ in rows]
+    for at, (q, _, _) in enumerate(rows):
+        if q % 20 == 0:
+            near = sorted((-float((vectors[at] * v).sum()), rows[i][0], i) for i, v in enumerate(vectors) if i != at and len(v) == len(vectors[at]))
+            want += [(q, rank, i, round(-s, 9)) for rank, (s, i, _) in enumerate(near[:10], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, asks string")
+    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann.search(frame, F.expr("vec_id % 20 = 0"), 10).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_many_neighbours(spark):
+    rows = sample(900, 3)
+    want, got = brute(rows, 300), search(spark, rows, 300)
+    hits = sum(len({r[1] for r in got[q]} & {i for _, i in want[q]}) for q in want)
+    assert all(len(got[q]) == 300 for q in want) and hits >= 0.9 * 300 * len(want)
