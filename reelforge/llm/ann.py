@@ -40,8 +40,9 @@ CANDIDATES = 1024
 SHARD = 65_536
 CHUNK = 65_536
 LEAST_CHUNK = 64
-#: Candidates of a query that are reranked exactly, times k where k is large.
-RERANK = 160
+#: Candidates of a query in a shard, and in all, that are reranked at most (more
+#: for a large k): those below the k-th best by less than the tables' own error.
+RERANK = 1024
 #: Queries that a kernel scores at once.
 BATCH = 64
 
@@ -75,6 +76,7 @@ class Quantiser:
     centroids: np.ndarray
     books: np.ndarray
     probes: int
+    slack: float = np.inf
 
     def pad(self, vectors: np.ndarray) -> np.ndarray:
         extra = -vectors.shape[1] % len(self.books)
@@ -130,6 +132,12 @@ def fit(sample: np.ndarray, rows: int, k: int) -> Quantiser:
         place = np.argsort(np.argsort(-(sample[asked] @ centroids.T), axis=1, kind="stable"), axis=1)
         ranks = np.take_along_axis(place, cell[best], axis=1)
         out.probes = int(np.quantile(ranks, SOUGHT)) + 1
+        # How far the tables are off for true neighbours.
+        own = best.ravel()
+        codes, tables = out.codes(sample[own], cell[own]), out.tables(sample[asked])
+        who = np.repeat(np.arange(len(asked)), k)
+        about = (sample[asked][who] * centroids[cell[own]]).sum(axis=1) + tables[who[:, None], np.arange(parts)[None, :], codes].sum(axis=1)
+        out.slack = 3.0 * float(np.quantile(np.abs(about - np.take_along_axis(score, best, axis=1).ravel()), 0.9))
     return out
 
 
@@ -163,8 +171,7 @@ def _encode(model):
 
 
 def _route(model, sizes: np.ndarray, first: np.ndarray, many: np.ndarray):
-    """Each query once for every shard that holds one of its probed cells, with
-    the number of these shards."""
+    """Each query once for every shard that holds one of its probed cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = int((first + many).max())
@@ -177,18 +184,21 @@ def _route(model, sizes: np.ndarray, first: np.ndarray, many: np.ndarray):
                     for cell in range(len(sizes)):
                         hit[mask[:, cell], step[cell]] += sign
                 row, shard = np.nonzero(np.cumsum(hit, axis=1)[:, :total] > 0)
-                spread = np.bincount(row, minlength=part.num_rows)[row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.astype(np.int32)), part.column("row").take(pa.array(row)), pa.array(spread.astype(np.int32)), part.column("vector").take(pa.array(row))],
-                    names=["shard", "row", "spread", "vector"],
+                    [pa.array(shard.astype(np.int32)), part.column("row").take(pa.array(row)), part.column("vector").take(pa.array(row))], names=["shard", "row", "vector"]
                 )
 
     return run
 
 
-def best_of(line: np.ndarray, keep: int) -> np.ndarray:
-    """Places of the ``keep`` greatest finite scores; ties to the first places."""
-    keep = min(keep, int((line > -np.inf).sum()))
+def best_of(line: np.ndarray, k: int, slack: float, most: int) -> np.ndarray:
+    """Places of the k greatest finite scores, and of those within ``slack`` of
+    the k-th, ``most`` in all; ties to the first places."""
+    seen = int((line > -np.inf).sum())
+    keep = min(k, seen)
+    if keep:
+        kth = np.partition(line, len(line) - keep)[len(line) - keep]
+        keep = min(seen, max(keep, min(most, int((line >= kth - slack).sum()))))
     if not keep:
         return np.zeros(0, dtype=np.int64)
     edge = np.partition(line, len(line) - keep)[len(line) - keep]
@@ -200,7 +210,7 @@ def _search(model, sizes: np.ndarray, k: int):
     """Sorted by (shard, chunk, codes before queries, vec_id): a shard's codes
     stay, its queries stream past; the best candidates of each by the tables."""
     schema = pa.schema([("asker", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("about", pa.float32())])
-    rerank = max(RERANK, 2 * k)
+    most, slack = max(RERANK, 2 * k), model.value.slack
 
     class Shard:
         def __init__(self, parts: list[pa.RecordBatch]):
@@ -213,7 +223,7 @@ def _search(model, sizes: np.ndarray, k: int):
             self.sorted = self.row[self.place]
 
         def answer(self, part: pa.RecordBatch) -> pa.RecordBatch:
-            q, asker, spread = matrix(part.column("vector")), part.column("row").to_numpy(), part.column("spread").to_numpy()
+            q, asker = matrix(part.column("vector")), part.column("row").to_numpy()
             mask, near, tables = model.value.probed(q, sizes, CANDIDATES), q @ model.value.centroids.T, model.value.tables(q)
             score = np.full((len(q), len(self.row)), -np.inf, dtype=np.float32)
             for c, own in self.members:
@@ -226,7 +236,7 @@ def _search(model, sizes: np.ndarray, k: int):
             at = np.minimum(np.searchsorted(self.sorted, asker), len(self.sorted) - 1)
             self_ = np.flatnonzero(self.sorted[at] == asker)  # a query isn't its own candidate
             score[self_, self.place[at[self_]]] = -np.inf
-            best = [best_of(line, max(2 * k, min(rerank, -(-2 * rerank // int(n))))) for line, n in zip(score, spread, strict=True)]
+            best = [best_of(line, k, slack, most) for line in score]
             flat = np.concatenate(best)
             who = np.repeat(np.arange(len(q)), [len(b) for b in best])
             return pa.RecordBatch.from_arrays([pa.array(asker[who]), pa.array(self.row[flat]), pa.array(self.vec_id[flat]), pa.array(score[who, flat])], schema=schema)
@@ -276,14 +286,17 @@ def _search_length(spark: SparkSession, scratch: Scratch, sound: DataFrame, n: i
     chunks = max(-(-asked // CHUNK), min(-(-asked // LEAST_CHUNK), -(-2 * partitions(spark) // shards)))
     start, parts = F.array(*[F.lit(int(x)) for x in first]), F.array(*[F.lit(int(x)) for x in many])
     shard = (start[F.col("cell")] + F.pmod(F.xxhash64("row"), parts[F.col("cell")])).cast("int")
-    codes = index.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"), "row", "vec_id", "cell", "codes", F.lit(None).cast("int").alias("spread"), F.lit(None).cast(sound.schema["vector"].dataType).alias("vector"))
-    routed = asking.select("row", "vector").mapInArrow(_route(model, sizes, first, many), sound.select(F.lit(0).alias("shard"), "row", F.lit(0).alias("spread"), "vector").schema)
+    codes = index.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"), "row", "vec_id", "cell", "codes", F.lit(None).cast(sound.schema["vector"].dataType).alias("vector"))
+    routed = asking.select("row", "vector").mapInArrow(_route(model, sizes, first, many), sound.select(F.lit(0).alias("shard"), "row", "vector").schema)
     chunk = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(chunks)).cast("int")
-    queries = routed.select("shard", chunk.alias("chunk"), F.lit(True).alias("asks"), "row", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("int").alias("cell"), F.lit(None).cast("binary").alias("codes"), "spread", "vector")
+    queries = routed.select("shard", chunk.alias("chunk"), F.lit(True).alias("asks"), "row", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("int").alias("cell"), F.lit(None).cast("binary").alias("codes"), "vector")
     dealt = codes.unionByName(queries).repartition(partitions(spark), "shard", "chunk").sortWithinPartitions("shard", "chunk", "asks", "vec_id", "row")
     found = dealt.mapInArrow(_search(model, sizes, k), "asker long, row long, vec_id long, about float")
     order = Window.partitionBy("asker").orderBy(F.desc("about"), "vec_id", "row")
-    near = scratch.put(found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(RERANK, 2 * k)).select("asker", "row"))
+    found = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(RERANK, 2 * k))
+    kth = F.max(F.when(F.col("place") == k, F.col("about"))).over(Window.partitionBy("asker"))
+    found = found.withColumn("kth", kth).filter((F.col("place") <= k) | F.col("kth").isNull() | (F.col("about") >= F.col("kth") - F.lit(fitted.slack)))
+    near = scratch.put(found.select("asker", "row"))
     asking = asking.select(F.col("row").alias("asker"), F.col("vec_id").alias("query_id"), F.col("vector").alias("asking"))
     pairs = near.join(sound.select("row", "vec_id", "vector"), "row").join(asking, "asker")
     return pairs.select("asker", "query_id", "vec_id", "row", "vector", "asking").mapInArrow(_exact, "asker long, query_id long, vec_id long, row long, score double")
