@@ -92,7 +92,7 @@ def truthy(value: Column) -> Column:
     return F.when(value.isin(*YES), True).when(value.isin(*NO), False)
 
 
-def level_value(level: Column) -> Column:
+def _level_value(level: Column) -> Column:
     level = F.lower(F.trim(level))
     out = F.lit(None).cast("double")
     for name, value in LEVELS.items():
@@ -103,9 +103,11 @@ def level_value(level: Column) -> Column:
 def rubric_score(levels: Column, weights: dict[str, float]) -> Column:
     """Weighted mean of level values in 0..1; 0.0 if a level is missing or unknown.
 
-    A judgement that cannot be read counts as zero, it isn't left out.
+    A level is a bare string, or an object (as JSON text) of observation and
+    level.  A judgement that cannot be read counts as zero, it isn't left out.
     """
     total = sum(weights.values())
+    level_value = lambda v: _level_value(F.when(v.rlike(r"^\s*\{"), F.coalesce(F.get_json_object(v, "$.level"), F.lit(""))).otherwise(v))
     parts = [level_value(F.try_element_at(levels, F.lit(k))) * (w / total) for k, w in weights.items()]
     out = parts[0]
     for p in parts[1:]:

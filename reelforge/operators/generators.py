@@ -13,11 +13,20 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import between, draw
 from .sets import distinct_by
+from .windows import ordinal
 
 # -- fixed values ----------------------------------------------------------
-ROTATION_SHAPES = ("triangle", "square", "pentagon", "hexagon")
-MOVES = ("up", "down", "left", "right", "up_left", "up_right", "down_left", "down_right", "far_up", "far_down", "stay")
-SKIPPED_KEYS = ("path", "image", "video", "prompt", "seed", "timestamp")
+ROTATION_SHAPES = ("L_shape", "T_shape", "trapezoid", "arrow")
+ANALOGY_SHAPES = (
+    "square", "triangle", "circle", "diamond", "pentagon", "hexagon", "rectangle", "oval", "star", "heart",
+    "cross", "arrow", "trapezoid", "rhombus", "octagon", "crescent", "plus", "minus", "L_shape", "T_shape",
+)
+MOVES = {"center": 0, "up": -60, "down": 60, "up_small": -40, "down_small": 40, "up_large": -80, "down_large": 80, "up_tiny": -25, "down_tiny": 25, "up_huge": -100, "down_huge": 100}
+ANALOGY_COLOURS = 400
+SKIPPED_KEYS = (
+    "temp_path", "temp_dir", "temp_file", "video_temp_path", "image_temp_path", "cache_path", "cache_dir",
+    "_cache", "_internal", "_temp", "_tmp", "seed", "random_seed", "tmp", "tmpdir",
+)
 
 
 def task_ids(spark: SparkSession, domain: str, n: int) -> DataFrame:
@@ -52,12 +61,37 @@ def puzzle_parameters(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     return rows.withColumn("angles", angles).drop("_order")
 
 
-def analogy_parameters(spark: SparkSession, n: int, shapes: int = 20, colours: int = 8, seed: int = 0) -> DataFrame:
-    """Distinct combinations of a shape, two different colours and a move."""
-    every = spark.range(shapes).select(F.col("id").alias("shape")).crossJoin(spark.range(colours).select(F.col("id").alias("colour_from"))).crossJoin(spark.range(colours).select(F.col("id").alias("colour_to")))
-    every = every.filter("colour_from <> colour_to").crossJoin(spark.range(len(MOVES)).select(F.array(*[F.lit(m) for m in MOVES])[F.col("id").cast("int")].alias("move")))
-    key = F.concat_ws(":", "shape", "colour_from", "colour_to", "move")
-    return every.withColumn("_h", draw(seed, key, "combination")).orderBy("_h").limit(n).drop("_h")
+def analogy_parameters(spark: SparkSession, n: int, shapes: tuple[str, ...] = ANALOGY_SHAPES, colours: int = ANALOGY_COLOURS, seed: int = 0) -> DataFrame:
+    """n distinct combinations of two shapes, two colours and two moves, each pair different.
+
+    Combinations are drawn one by one, and a repeated one goes; twice as many
+    are drawn as asked for.  More than a quarter of all combinations is refused.
+    """
+    moves = tuple(MOVES)
+    sizes = {"shape": len(shapes), "colour": colours, "move": len(moves)}
+    every = 1
+    for size in sizes.values():
+        every *= size * (size - 1)
+    if 4 * n > every:
+        raise ValueError(f"{n} of {every} combinations can't be drawn apart")
+    rows = spark.range(2 * n + 64).select("id")
+    pick = lambda name, high: between(seed, "id", name, 0, high)
+    for name, size in sizes.items():  # the second differs from the first
+        rows = rows.withColumn(f"{name}_1", pick(f"{name}_1", size - 1))
+        rows = rows.withColumn(f"{name}_2", (F.col(f"{name}_1") + 1 + pick(f"{name}_2", size - 2)) % size)
+    key = F.concat_ws(":", *[f"{name}_{k}" for name in sizes for k in (1, 2)])
+    first = ordinal(distinct_by(rows, key, "id"), "id", name="place").filter(F.col("place") < n)
+    named = lambda values, column: F.array(*[F.lit(v) for v in values])[F.col(column)]
+    return first.select(
+        "place",
+        named(shapes, "shape_1").alias("shape"),
+        named(shapes, "shape_2").alias("second_shape"),
+        F.col("colour_1").alias("colour_from"),
+        F.col("colour_2").alias("colour_to"),
+        named(moves, "move_1").alias("move_from"),
+        named(moves, "move_2").alias("move_to"),
+        named(tuple(MOVES.values()), "move_2").alias("move_pixels"),
+    )
 
 
 def _layouts(seed: int, size: int, gap: float, tries: int):
@@ -89,16 +123,20 @@ def placement_layouts(spark: SparkSession, n: int, seed: int = 0, size: int = 51
 
 
 def canonical(parameters: str | None) -> str | None:
-    """JSON with sorted keys, floats at six places, bulky keys left out."""
+    """JSON with sorted keys and floats at six places; on the top level, keys that
+    name something temporary and null values are left out."""
 
-    def clean(value):
+    def plain(value):
         if isinstance(value, dict):
-            return {k: clean(v) for k, v in value.items() if not any(s in k.lower() for s in SKIPPED_KEYS)}
+            return {k: plain(v) for k, v in value.items()}
         if isinstance(value, list):
-            return [clean(v) for v in value]
+            return [plain(v) for v in value]
         return round(value, 6) if isinstance(value, float) else value
 
-    return None if parameters is None else json.dumps(clean(json.loads(parameters)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    if parameters is None:
+        return None
+    kept = {k: plain(v) for k, v in json.loads(parameters).items() if v is not None and not any(word in k.lower() for word in SKIPPED_KEYS)}
+    return json.dumps(kept, sort_keys=True, ensure_ascii=False)
 
 
 def with_parameter_hash(rows: DataFrame, parameters: str = "parameters") -> DataFrame:
@@ -107,13 +145,17 @@ def with_parameter_hash(rows: DataFrame, parameters: str = "parameters") -> Data
     return rows.withColumn("canonical", normal(F.col(parameters))).withColumn("param_hash", F.substring(F.sha2("canonical", 256), 1, 16))
 
 
-def complete_metadata(rows: DataFrame) -> Column:
-    """Whether a metadata record has all it must have, with its own hash."""
-    present = [F.coalesce(F.col(c).cast("string"), F.lit("")) != "" for c in ("task_id", "generator", "timestamp", "parameters")]
-    out = present[0]
-    for p in present[1:]:
-        out = out & p
-    return out & (F.length("param_hash") == 16)
+def complete_metadata(metadata: str | Column) -> Column:
+    """Whether a metadata record (JSON text) has all it must have: its fields, a
+    hash of 16 characters, parameters that are an object, and under generation a
+    seed and the commit."""
+    parsed = F.try_parse_json(F.col(metadata) if isinstance(metadata, str) else metadata)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
+    there = lambda path: F.try_variant_get(parsed, path, "variant").isNotNull()
+    out = kind("$.parameters").startswith("OBJECT") & (F.length(F.try_variant_get(parsed, "$.param_hash", "string")) == 16)
+    for path in ("$.task_id", "$.generator", "$.timestamp", "$.generation.seed", "$.generation.git.commit"):
+        out = out & there(path)
+    return F.coalesce(out, F.lit(False))
 
 
 def without_credentials(url: Column) -> Column:

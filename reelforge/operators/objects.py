@@ -104,7 +104,7 @@ def palette(labs: Column, gate: float = S.SAME_COLOUR) -> Column:
     return F.aggregate(labs, F.slice(labs, 1, 0), lambda kept, lab: F.when(F.exists(kept, lambda k: S.lab_distance(k, lab) <= gate), kept).otherwise(F.concat(kept, F.array(lab))))
 
 
-def placement_scores(shapes: DataFrame, markers: DataFrame, ceilings: DataFrame, on_target: float = 0.5, good: float = 0.1, bad: float = 1.5) -> DataFrame:
+def placement_scores(shapes: DataFrame, markers: DataFrame, ceilings: DataFrame, on_target: float = 0.60, good: float = 0.20, bad: float = 0.80) -> DataFrame:
     """Sub-scores of object placement, and their weighted sum, per image.
 
     on_target, good, bad: distances as parts of an object's side.

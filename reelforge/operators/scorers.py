@@ -32,6 +32,10 @@ ARM_REACH, ARM_BAND = 8, (0.28, 0.72)
 JUNCTIONS = (("TL", "E", "TR", "W"), ("BL", "E", "BR", "W"), ("TL", "S", "BL", "N"), ("TR", "S", "BR", "N"))
 OUTWARD = {"TL": "NW", "TR": "NE", "BL": "SW", "BR": "SE"}
 MARKER_AREA = 600.0
+ON_TARGET, ALIGNED = 0.60, (0.20, 0.80)  # parts of an object's side
+TURN_BAND, RIGID_BAND, IDENTITY_BAND = (8.0, 45.0), (0.20, 0.45), (0.55, 0.80)
+POLYGON_AREA, OUTLINE_WEIGHT = 300, 0.25
+CELL_AREA, CELL_BAND, GLYPH_BAND, CELLS_OF_ANALOGY, ROW_SPLIT = 200, (10.0, 45.0), (0.15, 0.40), 6, 0.5
 
 
 def ramp(value: float, good: float, bad: float) -> float:
@@ -92,11 +96,25 @@ def rotation_puzzle(before: np.ndarray, candidate: np.ndarray, reference: np.nda
 
 def _main(image: np.ndarray, like: np.ndarray | None = None) -> I.Region | None:
     """The largest region, of a colour if there is one of it."""
-    found = I.regions(image, I.drawn(image, 20.0) & I.coloured(image) if I.coloured(image).any() else I.drawn(image, 20.0), 400)
+    found = I.regions(image, I.drawn(image, 20.0) & I.coloured(image) if I.coloured(image).any() else I.drawn(image, 20.0), POLYGON_AREA)
     alike = [r for r in found if like is not None and I.colour_gap(r.lab, like) <= S.SAME_COLOUR]
     return (alike or found or [None])[0]
 
 
+def _grey_ink(image: np.ndarray) -> int:
+    """Pixels of neutral grey that are darker than the background: outline and pivot."""
+    ground, pixels = I.background(image).astype(np.float64), image.astype(np.float64)
+    unlike = np.sqrt(((pixels - ground) ** 2).sum(axis=2)) > 12.0
+    neutral = np.ptp(pixels, axis=2) < 22.0
+    return int((unlike & neutral & (pixels.mean(axis=2) < ground.mean() - 6.0)).sum())
+
+
+def _outline_left(before: np.ndarray, candidate: np.ndarray, reference: np.ndarray) -> float:
+    """The share of the target's outline that should be gone and isn't."""
+    start, now, goal = (_grey_ink(i) for i in (before, candidate, reference))
+    return min(1.0, max(0.0, (now - goal) / max(1.0, start - goal)))
+
+
 def geometric_transformation(before: np.ndarray, candidate: np.ndarray, reference: np.ndarray) -> dict[str, float]:
     goal = _main(reference)
     now = _main(candidate, goal.lab) if goal else None
@@ -107,14 +125,15 @@ def geometric_transformation(before: np.ndarray, candidate: np.ndarray, referenc
     side = goal.area**0.5
     path = float(np.hypot(start.x - goal.x, start.y - goal.y)) if start else 0.0
     turn, fit = I.best_turn(goal, now)
-    like = ramp(1 - fit, 0.55, 0.80)
+    like = ramp(1 - fit, *IDENTITY_BAND)
     place = ramp(float(np.hypot(now.x - goal.x, now.y - goal.y)), max(0.1 * side, 3.0), max(path, 0.3 * side)) * like
     faithful = 0.0
     if start:
         _, rigid = I.best_turn(start, now)
         size = min(now.area, start.area) / max(now.area, start.area, 1.0)
-        faithful = 0.5 * ramp(1 - rigid, 0.15, 0.60) + 0.5 * ramp(1 - size, 0.15, 0.55)
-    return {"rotation_angle": top * ramp(abs(turn), 4.0, 30.0) * like, "position_alignment": top * place, "shape_fidelity": top * faithful}
+        faithful = 0.5 * ramp(1 - rigid, *RIGID_BAND) + 0.5 * ramp(1 - size, 0.15, 0.55)
+    top *= 1.0 - OUTLINE_WEIGHT * _outline_left(before, candidate, reference)
+    return {"rotation_angle": top * ramp(abs(turn), *TURN_BAND) * like, "position_alignment": top * place, "shape_fidelity": top * faithful}
 
 
 def _objects(image: np.ndarray) -> tuple[list[I.Region], list[I.Region]]:
@@ -141,8 +160,8 @@ def object_placement(before: np.ndarray, candidate: np.ndarray, reference: np.nd
     top, hit, near, alike = ceiling(candidate, reference), [], [], []
     for goal, own, away in _assigned(goals, have):
         side = goal.area**0.5
-        hit.append(float(own is not None and away <= 0.5 * side))
-        near.append(0.0 if own is None else ramp(away, 0.1 * side, 1.5 * side))
+        hit.append(float(own is not None and away <= ON_TARGET * side))
+        near.append(0.0 if own is None else ramp(away, ALIGNED[0] * side, ALIGNED[1] * side))
         source = min(sources, key=lambda s: I.colour_gap(s.lab, goal.lab), default=None)
         if own is None or source is None or I.colour_gap(source.lab, goal.lab) > S.SAME_COLOUR:
             alike.append(0.0)
@@ -159,32 +178,44 @@ def object_placement(before: np.ndarray, candidate: np.ndarray, reference: np.nd
     }
 
 
+def _glyph_overlap(a: I.Region, b: I.Region) -> float:
+    """Overlap of two masks laid on one centre, as intersection over union."""
+    height, width = a.mask.shape
+    y, x = np.nonzero(b.mask)
+    y, x = y + int(np.round(a.y - b.y)), x + int(np.round(a.x - b.x))
+    inside = (y >= 0) & (y < height) & (x >= 0) & (x < width)
+    laid = np.zeros_like(a.mask)
+    laid[y[inside], x[inside]] = True
+    return float((a.mask & laid).sum() / max(1, (a.mask | laid).sum()))
+
+
 def colour_then_move(before: np.ndarray, candidate: np.ndarray, reference: np.ndarray) -> dict[str, float]:
-    """Slots of the reference in rows; each takes the nearest free candidate."""
-    goals, have = (I.regions(i, I.coloured(i), 200) for i in (reference, candidate))
-    if not goals:
+    """Six cells of the reference in two rows; each takes the nearest free candidate
+    within the band, and is worth place times glyph times colour."""
+    goals, have = (I.regions(i, I.opened(I.closed(I.drawn(i, 25.0))), CELL_AREA) for i in (reference, candidate))
+    middle = ROW_SPLIT * reference.shape[0]
+    upper, lower = (sorted([g for g in goals if (g.y < middle) == top_row], key=lambda g: g.x)[:3] for top_row in (True, False))
+    if len(upper) + len(lower) < CELLS_OF_ANALOGY:
         return dict.fromkeys(WEIGHTS["shape_color_then_move"], 0.0)
-    top, middle = ceiling(candidate, reference), reference.shape[0] / 2
-    free, rows = list(have), {True: [], False: []}
-    colours = []
-    for goal in sorted(goals, key=lambda r: (r.y >= middle, r.x)):
-        side = goal.area**0.5
+    top, free = ceiling(candidate, reference), list(have)
+    worth, coloured = [], []
+    for goal in upper + lower:
         own = min(free, key=lambda r: np.hypot(r.x - goal.x, r.y - goal.y), default=None)
-        away = np.hypot(own.x - goal.x, own.y - goal.y) if own else np.inf
-        if own is None or away > side:
-            rows[goal.y < middle].append(0.0)
-            colours.append(0.0)
+        away = np.inf if own is None else float(np.hypot(own.x - goal.x, own.y - goal.y))
+        if away > CELL_BAND[1]:
+            worth.append(0.0)
+            coloured.append(0.0)
             continue
         free = [r for r in free if r is not own]
-        same = float(I.colour_gap(own.lab, goal.lab) <= S.SAME_COLOUR)
-        rows[goal.y < middle].append(same * ramp(away, 0.1 * side, side) * (1.0 if own.shape == goal.shape else 0.5))
-        colours.append(same)
-    first, second = (float(np.mean(rows[k])) if rows[k] else 0.0 for k in (True, False))
+        coloured.append(float(I.colour_gap(own.lab, goal.lab) <= S.SAME_COLOUR))
+        worth.append(ramp(away, *CELL_BAND) * ramp(1.0 - _glyph_overlap(goal, own), *GLYPH_BAND) * coloured[-1])
+    first = float(np.mean(worth[:3]))
+    readable = min(1.0, first / 0.5)  # without its example, the second row means nothing
     return {
         "first_row_preservation": top * first,
-        "second_row_completion": top * second * (1.0 if first >= 0.5 else 0.5),  # an analogy without its example counts half
-        "color_accuracy": top * float(np.mean(colours)),
-        "shape_count": top * max(0.0, 1 - abs(len(have) - len(goals)) / len(goals)),
+        "second_row_completion": top * readable * float(np.mean(worth[3:])),
+        "color_accuracy": top * readable * float(np.mean(coloured[4:])),
+        "shape_count": top * ramp(abs(len(have) - CELLS_OF_ANALOGY), 0.0, 3.0),
     }
 
 

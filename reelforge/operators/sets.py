@@ -16,15 +16,19 @@ def merge_sources(sources: dict[str, DataFrame], row_order: str, key: str) -> Da
     Columns that a source lacks are null; the former id, of whatever type,
     becomes the string ``orig_id``.
     """
-    tagged = [
-        df.withColumns({"source": F.lit(name), "orig_id": F.col("id").cast("string"), "_source": F.lit(i)}).drop("id")
-        for i, (name, df) in enumerate(sources.items())
-    ]
+    tagged = [df.withColumns({"source": F.lit(name), "_source": F.lit(i)}) for i, (name, df) in enumerate(sources.items())]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    return renumber(rows, "_source", row_order, key=key).drop("_source")
+    return merge_tagged(rows, "_source", row_order, key).drop("_source")
 
 
-def renumber(rows: DataFrame, *order: str, key: str) -> DataFrame:
+def merge_tagged(rows: DataFrame, source_order: str | Column, row_order: str, key: str) -> DataFrame:
+    """The same for rows of one table that tell their source: read once,
+    whatever the number of sources."""
+    former = rows.withColumn("orig_id", F.col("id").cast("string")).drop("id")
+    return renumber(former, source_order, row_order, key=key)
+
+
+def renumber(rows: DataFrame, *order: str | Column, key: str) -> DataFrame:
     """Ids key_000000, key_000001, ... in an order."""
     return ordinal(rows, *order, name="_at").withColumn("id", F.format_string(f"{key}_%06d", F.col("_at"))).drop("_at")
 

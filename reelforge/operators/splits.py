@@ -61,8 +61,10 @@ def shared_picks(rows: DataFrame, task: str, identity: str, default: int, sizes:
         size = F.when(F.col(task) == name, n).otherwise(size)
     for name, own in (seeds or {}).items():
         order = F.when(F.col(task) == name, draw(own, identity, "pick")).otherwise(order)
+    most = max([default, *(sizes or {}).values()])
     place = F.row_number().over(Window.partitionBy(task).orderBy(order, identity))
-    return rows.withColumn("_n", place).filter(F.col("_n") <= size).drop("_n")
+    first = rows.withColumn("_n", place).filter(F.col("_n") <= most)  # a constant bound limits groups before the shuffle
+    return first.filter(F.col("_n") <= size).drop("_n")
 
 
 def extra_picks(rows: DataFrame, picked: DataFrame, task: str, identity: str, n: int, seed: int = 1) -> DataFrame:
@@ -72,8 +74,7 @@ def extra_picks(rows: DataFrame, picked: DataFrame, task: str, identity: str, n:
 
 def stride_batch(rows: DataFrame, order: list[str], offset: int, step: int, variants: list[str]) -> DataFrame:
     """Every step-th row from offset on, cycling through variants."""
-    at = F.row_number().over(Window.orderBy(*order)) - 1
-    picked = rows.withColumn("_at", at).filter(F.pmod(F.col("_at") - offset, F.lit(step)) == 0).filter(F.col("_at") >= offset)
+    picked = ordinal(rows, *order, name="_at").filter(F.pmod(F.col("_at") - offset, F.lit(step)) == 0).filter(F.col("_at") >= offset)
     slot = ((F.col("_at") - offset) / step).cast("int")
     return picked.withColumn("variant", F.array(*[F.lit(v) for v in variants])[slot % len(variants)]).drop("_at")
 

@@ -6,10 +6,11 @@ A clip is (clip_id, num_frames, fps).  Its frame grid takes every
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
+
 
 def with_grid(clips: DataFrame, sample_fps: float) -> DataFrame:
     """Adds native_stride and n_grid."""
@@ -81,13 +82,14 @@ def ordinal(rows: DataFrame, *order: str | Column, name: str = "id") -> DataFram
 
     Rows are dealt by ranges of the order; a row's number is its place in its
     range plus the sizes of the ranges before, which are few.  The dealt rows are
-    kept, since both uses must see the same ranges.
+    written to the shared folder, since both uses must see the same ranges, also
+    after an executor is lost.
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
     place = Window.partitionBy("_part").orderBy(*order)
-    placed = dealt.withColumn("_place", F.row_number().over(place)).persist(StorageLevel.DISK_ONLY)
+    placed = staged(dealt.withColumn("_place", F.row_number().over(place)), "ordinal")
     sizes = placed.groupBy("_part").agg(F.max("_place").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))

@@ -190,7 +190,13 @@ def other_clip_negatives(spark, sf_dir):
     return found.select("doc_id", *[F.get("others", F.lit(j)).alias(f"o{j + 1}") for j in range(3)])
 
 
-@query("negatives_with_fallback")
+@query(
+    "negatives_with_fallback",
+    f"""WITH {NEGATIVES}, ring AS (SELECT sample_id, clip_id, target_native, row_number() OVER (ORDER BY md5('0:' || clip_id || ':clip'), clip_id, md5('0:' || sample_id || ':row'), sample_id) - 1 AS i, count(*) OVER () AS n, count(*) OVER (PARTITION BY clip_id) AS block FROM transitions),
+ends AS (SELECT *, max(i) OVER (PARTITION BY clip_id) AS last FROM ring),
+crossed AS (SELECT e.sample_id, string_agg(r.target_native, ',' ORDER BY s.step) AS negatives FROM ends e, (VALUES (1), (2), (3)) s(step), ring r WHERE e.n - e.block >= 3 AND r.i = (e.last + s.step) % e.n AND e.sample_id NOT IN (SELECT sample_id FROM negatives) GROUP BY e.sample_id)
+SELECT sample_id, 'same_clip' AS negative_kind, near || ',' || mid || ',' || far AS negatives FROM negatives UNION ALL SELECT sample_id, 'other_clip', negatives FROM crossed""",
+)
 def negatives_with_fallback(spark, sf_dir):
     return mining.negatives_with_fallback(T.transitions(spark, sf_dir)).select("sample_id", "negative_kind", joined("negatives").alias("negatives"))
 
@@ -379,27 +385,29 @@ def dropped_ids(spark, sf_dir):
     return _labelled(spark, sf_dir)[1]
 
 
-def _three_sources(spark, sf_dir):
-    docs = T.table(spark, sf_dir, "documents")
-    return {s: docs.filter(F.col("source") == s).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("place"), "lang") for s in ("src7", "src1", "src12")}
-
-
 @query(
     "merge_sources",
-    """SELECT 'mix_' || lpad(CAST(row_number() OVER (ORDER BY CASE source WHEN 'src7' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END, doc_id) - 1 AS VARCHAR), 6, '0') AS id, CAST(doc_id AS VARCHAR) AS orig_id, source, lang FROM documents WHERE source IN ('src7', 'src1', 'src12')""",
+    """SELECT 'mix_' || lpad(CAST(row_number() OVER (ORDER BY source NULLS LAST, doc_id) - 1 AS VARCHAR), 6, '0') AS id, CAST(doc_id AS VARCHAR) AS orig_id, source, lang FROM documents""",
 )
 def merge_sources(spark, sf_dir):
-    return sets.merge_sources(_three_sources(spark, sf_dir), "place", "mix").select("id", "orig_id", "source", "lang")
+    docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("place"), "source", "lang")
+    return sets.merge_tagged(docs, F.col("source").asc_nulls_last(), "place", "mix").select("id", "orig_id", "source", "lang")
 
 
-PATHS = """r AS (SELECT conv_id, CAST(conv_id * 7 % 1000 AS VARCHAR) AS p1, CAST(conv_id * 13 % 1000 AS VARCHAR) AS p2, CASE WHEN conv_id % 2 = 0 THEN CAST(conv_id % 1000 AS VARCHAR) END AS p3 FROM (SELECT DISTINCT conv_id FROM conversations)), e AS (SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 5 <> 0),
+PATHS = """top AS (SELECT max(doc_id) + 1 AS n FROM documents), r AS (SELECT conv_id, CAST(conv_id * 7 % n AS VARCHAR) AS p1, CAST(conv_id * 13 % n AS VARCHAR) AS p2, CASE WHEN conv_id % 2 = 0 THEN CAST(conv_id % n AS VARCHAR) END AS p3 FROM (SELECT DISTINCT conv_id FROM conversations), top), e AS (SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 5 <> 0),
 kept AS (SELECT conv_id FROM r WHERE p1 IN (SELECT path FROM e) AND p2 IN (SELECT path FROM e) AND (p3 IS NULL OR p3 IN (SELECT path FROM e)))"""
 
 
+def _id_range(spark, sf_dir):
+    """One more than the greatest doc_id."""
+    return (T.table(spark, sf_dir, "documents").agg(F.max("doc_id").alias("top")).first()["top"] or 0) + 1
+
+
 def _paths(spark, sf_dir):
     talks = T.table(spark, sf_dir, "conversations").select("conv_id").distinct()
     number = lambda c: c.cast("string")
-    found = talks.select("conv_id", (F.col("conv_id") % 4).alias("source"), F.array(number(F.col("conv_id") * 7 % 1000), number(F.col("conv_id") * 13 % 1000)).alias("image"), F.when(F.col("conv_id") % 2 == 0, number(F.col("conv_id") % 1000)).alias("cond_image"))
+    n = _id_range(spark, sf_dir)
+    found = talks.select("conv_id", (F.col("conv_id") % 4).alias("source"), F.array(number(F.col("conv_id") * 7 % n), number(F.col("conv_id") * 13 % n)).alias("image"), F.when(F.col("conv_id") % 2 == 0, number(F.col("conv_id") % n)).alias("cond_image"))
     existing = T.table(spark, sf_dir, "documents").filter("doc_id % 5 <> 0").select(number(F.col("doc_id")).alias("path"))
     return found, joins.drop_missing_paths(found, "conv_id", ["image", "cond_image"], existing)
 
@@ -650,7 +658,8 @@ def labelled_parts(spark, sf_dir):
 def judge_parsing(spark, sf_dir):
     i = F.col("doc_id")
     place = F.when(i % 3 == 2, "superb").otherwise(F.when(i % 2 == 0, " Correct").otherwise("partial"))
-    reply = P.text("Sure: {\"criteria\": {\"place\": \"", place, "\", \"shape\": \"", F.when(F.col("quality") == 1, "correct").otherwise("wrong"), "\"}}")
+    place = F.when(i % 4 < 2, P.text("{\"observation\": \"the {block} moved\", \"level\": \"", place, "\"}")).otherwise(P.text("\"", place, "\""))
+    reply = P.text("Sure: {\"criteria\": {\"place\": ", place, ", \"shape\": \"", F.when(F.col("quality") == 1, "correct").otherwise("wrong"), "\"}}")
     votes = P.text("{\"long\": \"", F.when(i % 2 == 1, "Yes").otherwise("no"), "\", \"good\": \"", F.when(i % 5 == 0, "maybe").when(F.col("quality") == 1, "1").otherwise("FALSE"), "\"}")
     levels = F.from_json(S.json_block(reply), "criteria map<string,string>")["criteria"]
     answers = F.from_json(S.json_block(votes), "map<string,string>")
@@ -710,20 +719,20 @@ def nearest_colour(spark, sf_dir):
 
 @query(
     "text_rules",
-    """SELECT doc_id, trim(regexp_replace(substring(text, 1, 200), '\\s+', ' ', 'g')) AS squeezed, lang || CASE WHEN doc_id % 2 = 0 THEN '!' ELSE '.' END AS ended, CASE WHEN doc_id % 7 BETWEEN 1 AND 5 THEN ['one', 'two', 'three', 'four', 'five'][doc_id % 7] ELSE CAST(doc_id % 7 AS VARCHAR) END AS word, 'clip' || doc_id AS clip, CAST(doc_id % 90 AS INT) AS frame FROM documents""",
+    """SELECT doc_id, trim(regexp_replace(text, '[\\x09-\\x0D\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) AS squeezed, lang || CASE WHEN doc_id % 2 = 0 THEN '!' ELSE '.' END AS ended, CASE WHEN doc_id % 7 BETWEEN 1 AND 5 THEN ['one', 'two', 'three', 'four', 'five'][doc_id % 7] ELSE CAST(doc_id % 7 AS VARCHAR) END AS word, 'clip' || doc_id AS clip, CAST(doc_id % 90 AS INT) AS frame FROM documents""",
 )
 def text_rules(spark, sf_dir):
     path = P.frame_path("frames", F.concat(F.lit("clip"), F.col("doc_id").cast("string")), F.col("doc_id") % 90)
     clip, frame = P.frame_of(path)
     ended = F.when(F.col("doc_id") % 2 == 0, F.concat("lang", F.lit("! "))).otherwise(F.col("lang"))
     return T.table(spark, sf_dir, "documents").select(
-        "doc_id", P.squeeze(F.substring("text", 1, 200)).alias("squeezed"), P.with_period(ended).alias("ended"), P.number_word(F.col("doc_id") % 7).alias("word"), clip.alias("clip"), frame.alias("frame")
+        "doc_id", P.squeeze(F.col("text")).alias("squeezed"), P.with_period(ended).alias("ended"), P.number_word(F.col("doc_id") % 7).alias("word"), clip.alias("clip"), frame.alias("frame")
     )
 
 
-@query("parameter_hash", """SELECT p_partkey, substring(sha256('{"brand":"' || p_brand || '","size":' || p_size || '}'), 1, 16) AS param_hash FROM part""")
+@query("parameter_hash", """SELECT p_partkey, substring(sha256('{"brand": "' || p_brand || '", "size": ' || p_size || '}'), 1, 16) AS param_hash FROM part""")
 def parameter_hash(spark, sf_dir):
-    raw = F.to_json(F.struct(F.col("p_size").alias("size"), F.lit("x").alias("image_path"), F.col("p_brand").alias("brand")))
+    raw = F.to_json(F.struct(F.col("p_size").alias("size"), F.lit("x").alias("image_temp_path"), F.lit(7).alias("random_seed"), F.col("p_brand").alias("brand")))
     return generators.with_parameter_hash(T.table(spark, sf_dir, "part").select("p_partkey", raw.alias("parameters"))).select("p_partkey", "param_hash")
 
 
@@ -748,10 +757,10 @@ def object_sources(spark, sf_dir):
 
 @query(
     "markers_in_place",
-    f"WITH {OBJECTS}, ok AS (SELECT DISTINCT p.image_id, p.idx FROM objects p JOIN objects q ON p.image_id = q.image_id AND p.role = 'cand' AND q.role = 'input' WHERE {DE} <= 25 AND sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) <= 60) SELECT o.image_id, round((SELECT count(*) FROM ok WHERE ok.image_id = o.image_id) / 3.0::DOUBLE, 9) AS star_invariance FROM (SELECT DISTINCT image_id FROM objects) o",
+    f"WITH {OBJECTS}, ok AS (SELECT DISTINCT p.image_id, p.idx FROM objects p JOIN objects q ON p.image_id = q.image_id AND p.role = 'cand' AND q.role = 'input' WHERE {DE} <= 25 AND sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) <= 14) SELECT o.image_id, round((SELECT count(*) FROM ok WHERE ok.image_id = o.image_id) / 3.0::DOUBLE, 9) AS star_invariance FROM (SELECT DISTINCT image_id FROM objects) o",
 )
 def markers_in_place(spark, sf_dir):
-    return objects.markers_in_place(T.objects(spark, sf_dir), tolerance=60.0).withColumn("star_invariance", F.round("star_invariance", 9))
+    return objects.markers_in_place(T.objects(spark, sf_dir)).withColumn("star_invariance", F.round("star_invariance", 9))
 
 
 @query(
@@ -773,44 +782,110 @@ def grid_cells(spark, sf_dir):
     return objects.grid_cells(T.objects(spark, sf_dir).filter("role = 'gt'"), 128.0).select("image_id", "idx", "row", "column")
 
 
-@query("greedy_match")
+MATCHED = f"""{OBJECTS}, found AS (SELECT p.image_id, p.idx AS gt, q.idx AS cand, {DE} AS de, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS dist FROM objects p JOIN objects q ON p.image_id = q.image_id AND p.role = 'gt' AND q.role = 'cand'),
+priced AS (SELECT *, de + dist AS cost FROM found WHERE de <= 25),
+m1 AS (SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY cost, gt, cand) = 1),
+m2 AS (SELECT p.* FROM priced p JOIN m1 USING (image_id) WHERE p.gt <> m1.gt AND p.cand <> m1.cand QUALIFY row_number() OVER (PARTITION BY p.image_id ORDER BY p.cost, p.gt, p.cand) = 1),
+m3 AS (SELECT p.* FROM priced p JOIN m1 USING (image_id) JOIN m2 USING (image_id) WHERE p.gt NOT IN (m1.gt, m2.gt) AND p.cand NOT IN (m1.cand, m2.cand) QUALIFY row_number() OVER (PARTITION BY p.image_id ORDER BY p.cost, p.gt, p.cand) = 1),
+matched AS (SELECT o.image_id, o.idx AS gt, m.cand, m.dist FROM objects o LEFT JOIN (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3) m ON o.image_id = m.image_id AND o.idx = m.gt WHERE o.role = 'gt')"""
+
+
+@query("greedy_match", f"WITH {MATCHED} SELECT image_id, gt, cand, round(dist, 6) AS dist FROM matched")
 def greedy_match(spark, sf_dir):
-    return objects.greedy_match(T.objects(spark, sf_dir))
+    return objects.greedy_match(T.objects(spark, sf_dir)).withColumn("dist", F.round("dist", 6))
 
 
-@query("nearest_per_slot")
+@query(
+    "nearest_per_slot",
+    f"""WITH {MATCHED}, near AS (SELECT * FROM found WHERE dist <= 120),
+s0 AS (SELECT * FROM near WHERE gt = 0 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY dist, cand) = 1),
+s1 AS (SELECT n.* FROM near n LEFT JOIN s0 ON n.image_id = s0.image_id WHERE n.gt = 1 AND n.cand IS DISTINCT FROM s0.cand QUALIFY row_number() OVER (PARTITION BY n.image_id ORDER BY n.dist, n.cand) = 1),
+s2 AS (SELECT n.* FROM near n LEFT JOIN s0 ON n.image_id = s0.image_id LEFT JOIN s1 ON n.image_id = s1.image_id WHERE n.gt = 2 AND n.cand IS DISTINCT FROM s0.cand AND n.cand IS DISTINCT FROM s1.cand QUALIFY row_number() OVER (PARTITION BY n.image_id ORDER BY n.dist, n.cand) = 1)
+SELECT o.image_id, o.idx AS slot, CAST(p.cand AS BIGINT) AS cand FROM objects o LEFT JOIN (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) p ON o.image_id = p.image_id AND o.idx = p.gt WHERE o.role = 'gt'""",
+)
 def nearest_per_slot(spark, sf_dir):
     return objects.nearest_per_slot(T.objects(spark, sf_dir), 120.0)
 
 
-@query("placement_scores")
+@query(
+    "placement_scores",
+    f"""WITH {MATCHED}, src AS (SELECT p.image_id, p.idx AS gt, q.area, q.shape, {DE} AS de FROM objects p JOIN objects q ON p.image_id = q.image_id AND p.role = 'gt' AND q.role = 'input' QUALIFY row_number() OVER (PARTITION BY p.image_id, p.idx ORDER BY {DE}, q.idx) = 1),
+judged AS (SELECT m.image_id, m.cand, m.dist, sqrt(greatest(1.0, g.area)) AS side, c.shape = s.shape AS alike, s.de, 1 - least(c.area, s.area) / greatest(c.area, s.area, 1.0) AS off FROM matched m JOIN objects g ON g.image_id = m.image_id AND g.role = 'gt' AND g.idx = m.gt LEFT JOIN objects c ON c.image_id = m.image_id AND c.role = 'cand' AND c.idx = m.cand LEFT JOIN src s ON s.image_id = m.image_id AND s.gt = m.gt),
+sums AS (SELECT image_id, avg(CASE WHEN dist <= 0.6 * side THEN 1.0 ELSE 0.0 END) AS hit, avg(CASE WHEN dist IS NULL OR dist >= 0.8 * side THEN 0.0 WHEN dist <= 0.2 * side THEN 1.0 ELSE 1 - (dist - 0.2 * side) / (0.6 * side) END) AS align,
+  avg(CASE WHEN cand IS NULL OR de > 25 THEN 0.0 ELSE (CASE WHEN alike THEN 0.5 ELSE 0.0 END) + 0.5 * (CASE WHEN off <= 0.15 THEN 1.0 WHEN off >= 0.6 THEN 0.0 ELSE 1 - (off - 0.15) / 0.45 END) END) AS fidelity FROM judged GROUP BY image_id),
+stars AS (SELECT p.image_id, CASE WHEN {DE} <= 25 AND sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) <= 14 THEN 1.0 ELSE 0.0 END AS kept FROM objects p JOIN objects q ON p.image_id = q.image_id AND p.role = 'cand' AND q.role = 'input' AND p.idx = 0 AND q.idx = 0)
+SELECT image_id, round(0.375 * hit + 0.3125 * align + 0.1875 * fidelity + 0.125 * kept, 6) AS score FROM sums JOIN stars USING (image_id)""",
+)
 def placement_scores(spark, sf_dir):
     shapes = T.objects(spark, sf_dir)
     ceilings = shapes.select("image_id").distinct().withColumn("ceiling", F.lit(1.0))
-    return objects.placement_scores(shapes, shapes.filter("idx = 0"), ceilings).select("image_id", "score")
+    return objects.placement_scores(shapes, shapes.filter("idx = 0"), ceilings).select("image_id", F.round("score", 6).alias("score"))
 
 
 # -- generators -----------------------------------------------------------------------
 
 
-@query("rotation_parameters")
+#: As many samples as there are documents, and a draw as a number from low to high.
+SAMPLES_ASKED = "n AS (SELECT count(*) AS n FROM documents)"
+
+
+def _drawn(identity: str, name: str, low: int, high: int) -> str:
+    return f"({low} + ('0x' || substring(md5('0:' || {identity} || ':{name}'), 1, 8))::BIGINT % {high - low + 1})"
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + "]"
+
+
+@query(
+    "rotation_parameters",
+    f"""WITH {SAMPLES_ASKED}, ids AS (SELECT i AS sample, 'rotation_' || lpad(CAST(i AS VARCHAR), 8, '0') AS task_id FROM n, range(0, n.n) t(i)),
+r AS (SELECT sample, task_id, {_listed(generators.ROTATION_SHAPES)}[{_drawn("task_id", "shape", 0, 3)} + 1] AS shape, {_drawn("task_id", "x", 150, 362)} AS x, {_drawn("task_id", "y", 150, 362)} AS y, {_drawn("task_id", "angle", 30, 330)} AS angle,
+  CASE WHEN {_drawn("task_id", "direction", 0, 1)} = 0 THEN 'clockwise' ELSE 'counterclockwise' END AS direction, {_drawn("task_id", "initial", 0, 359)} AS initial,
+  {_drawn("task_id", "colour0", 50, 200)} || ',' || {_drawn("task_id", "colour1", 50, 200)} || ',' || {_drawn("task_id", "colour2", 50, 200)} AS colour FROM ids)
+SELECT sample, task_id, shape, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(angle AS INT) AS angle, direction, CAST(initial AS INT) AS initial, colour FROM r
+QUALIFY row_number() OVER (PARTITION BY shape, direction, round_even(angle / 5.0, 0), round_even(initial / 5.0, 0), round_even(x / 5.0, 0), round_even(y / 5.0, 0) ORDER BY sample) = 1""",
+)
 def rotation_parameters(spark, sf_dir):
-    return generators.rotation_parameters(spark, 500).withColumn("colour", joined("colour"))
+    return generators.rotation_parameters(spark, T.table(spark, sf_dir, "documents").count()).withColumn("colour", joined("colour"))
 
 
-@query("puzzle_parameters")
+@query(
+    "puzzle_parameters",
+    f"""WITH {SAMPLES_ASKED}, ids AS (SELECT i AS sample, 'puzzle_' || lpad(CAST(i AS VARCHAR), 8, '0') AS task_id FROM n, range(0, n.n) t(i)),
+cells AS (SELECT *, {_drawn("task_id", "difficulty", 1, 4)} AS turned, row_number() OVER (PARTITION BY sample ORDER BY md5('0:' || task_id || ':cell' || c), c) AS place, 1 + ('0x' || substring(md5('0:' || task_id || ':angle' || c), 1, 8))::BIGINT % 359 AS angle FROM ids, (VALUES (0), (1), (2), (3)) v(c))
+SELECT sample, task_id, CAST(turned AS INT) AS turned, string_agg(CASE WHEN place <= turned THEN angle ELSE 0 END, ',' ORDER BY c) AS angles FROM cells GROUP BY sample, task_id, turned""",
+)
 def puzzle_parameters(spark, sf_dir):
-    return generators.puzzle_parameters(spark, 300).withColumn("angles", joined("angles"))
+    return generators.puzzle_parameters(spark, T.table(spark, sf_dir, "documents").count()).withColumn("angles", joined("angles"))
 
 
-@query("analogy_parameters")
+@query(
+    "analogy_parameters",
+    f"""WITH {SAMPLES_ASKED}, d AS (SELECT id, {_drawn("id", "shape_1", 0, 19)} AS s1, {_drawn("id", "shape_2", 0, 18)} AS s2, {_drawn("id", "colour_1", 0, 399)} AS c1, {_drawn("id", "colour_2", 0, 398)} AS c2, {_drawn("id", "move_1", 0, 10)} AS m1, {_drawn("id", "move_2", 0, 9)} AS m2 FROM n, range(0, 2 * n.n + 64) t(id)),
+r AS (SELECT id, s1, (s1 + 1 + s2) % 20 AS s2, c1, (c1 + 1 + c2) % 400 AS c2, m1, (m1 + 1 + m2) % 11 AS m2 FROM d),
+f AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS place FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY s1, s2, c1, c2, m1, m2 ORDER BY id) = 1))
+SELECT place, {_listed(generators.ANALOGY_SHAPES)}[s1 + 1] AS shape, {_listed(generators.ANALOGY_SHAPES)}[s2 + 1] AS second_shape, CAST(c1 AS INT) AS colour_from, CAST(c2 AS INT) AS colour_to, {_listed(generators.MOVES)}[m1 + 1] AS move_from, {_listed(generators.MOVES)}[m2 + 1] AS move_to, {_listed(generators.MOVES.values())}[m2 + 1] AS move_pixels FROM f, n WHERE place < n.n""",
+)
 def analogy_parameters(spark, sf_dir):
-    return generators.analogy_parameters(spark, 400)
+    return generators.analogy_parameters(spark, T.table(spark, sf_dir, "documents").count())
+
+
+@query("complete_metadata", "SELECT p_partkey, p_partkey % 7 NOT IN (1, 2, 3, 4, 5) AS complete FROM part")
+def complete_metadata(spark, sf_dir):
+    i = F.col("p_partkey") % 7
+    parameters = F.when(i == 1, F.lit("[1, 2]")).otherwise(F.lit('{"size": 3}'))
+    seed = F.when(i == 2, F.lit("")).otherwise(F.lit('"seed": 5, '))
+    commit = F.when(i == 3, F.lit("{}")).otherwise(F.lit('{"commit": "abc"}'))
+    stamp = F.when(i == 4, F.lit("")).otherwise(F.lit('"timestamp": "2024-01-01", '))
+    hashed = F.when(i == 5, F.lit("short")).otherwise(F.lit("0123456789abcdef"))
+    record = P.text('{"task_id": "t', F.col("p_partkey"), '", "generator": "g", ', stamp, '"parameters": ', parameters, ', "param_hash": "', hashed, '", "generation": {', seed, '"git": ', commit, "}}")
+    return T.table(spark, sf_dir, "part").select("p_partkey", generators.complete_metadata(record).alias("complete"))
 
 
 @query("placement_layouts")
 def placement_layouts(spark, sf_dir):
-    return generators.placement_layouts(spark, 100)
+    return generators.placement_layouts(spark, T.table(spark, sf_dir, "documents").count())
 
 
 @query("coin_balance", "SELECT count(*) FILTER (WHERE substring(md5('5:' || doc_id || ':x'), 1, 1) < '8') AS heads, count(*) AS n FROM documents")
@@ -861,16 +936,17 @@ def synthetic_dual_rows(spark, sf_dir):
 
 @query(
     "merged_setting",
-    """WITH e AS (SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 5 <> 0), r AS (SELECT source, doc_id, CASE source WHEN 'src7' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END AS s FROM documents WHERE source IN ('src7', 'src1', 'src12')),
-k AS (SELECT * FROM r WHERE CAST(doc_id AS VARCHAR) IN (SELECT path FROM e) AND CAST(doc_id * 3 % 1000 AS VARCHAR) IN (SELECT path FROM e))
-SELECT 'S0_' || lpad(CAST(row_number() OVER (ORDER BY s, doc_id) - 1 AS VARCHAR), 6, '0') AS id, CAST(doc_id AS VARCHAR) AS orig_id, source FROM k""",
+    """WITH top AS (SELECT max(doc_id) + 1 AS n FROM documents), e AS (SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 5 <> 0),
+k AS (SELECT source, doc_id FROM documents, top WHERE CAST(doc_id AS VARCHAR) IN (SELECT path FROM e) AND CAST(doc_id * 3 % n AS VARCHAR) IN (SELECT path FROM e))
+SELECT 'S0_' || lpad(CAST(row_number() OVER (ORDER BY source NULLS LAST, doc_id) - 1 AS VARCHAR), 6, '0') AS id, CAST(doc_id AS VARCHAR) AS orig_id, source FROM k""",
 )
 def merged_setting(spark, sf_dir):
     docs = T.table(spark, sf_dir, "documents")
     number = lambda c: c.cast("string")
-    parts = {s: docs.filter(F.col("source") == s).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("_row"), F.array(number(F.col("doc_id"))).alias("image"), number(F.col("doc_id") * 3 % 1000).alias("target_image")) for s in ("src7", "src1", "src12")}
+    n = _id_range(spark, sf_dir)
+    rows_ = docs.select("source", F.col("doc_id").alias("id"), F.col("doc_id").alias("_row"), F.array(number(F.col("doc_id"))).alias("image"), number(F.col("doc_id") * 3 % n).alias("target_image"))
     existing = docs.filter("doc_id % 5 <> 0").select(number(F.col("doc_id")).alias("path"))
-    return recipes.merged_setting(parts, existing, "S0").select("id", "orig_id", "source")
+    return recipes.existing_only(sets.merge_tagged(rows_, F.col("source").asc_nulls_last(), "_row", "S0"), existing, "S0").select("id", "orig_id", "source")
 
 
 def _progressions(spark, sf_dir):

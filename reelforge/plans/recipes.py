@@ -148,9 +148,13 @@ def synthetic_dual_rows(samples: DataFrame, prefix: str = "syn", held_out: int =
 
 def merged_setting(sources: dict[str, DataFrame], existing: DataFrame, key: str, row_order: str = "_row") -> DataFrame:
     """Sources merged in order, rows with a missing image dropped, renumbered."""
-    merged = sets.merge_sources(sources, row_order, key)
+    return existing_only(sets.merge_sources(sources, row_order, key), existing, key)
+
+
+def existing_only(merged: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """Merged rows whose images all exist, numbered anew in their order."""
     kept = joins.drop_missing_paths(merged, "id", [c for c in ("image", "target_image", "cond_image") if c in merged.columns], existing)
-    return sets.renumber(kept.withColumnRenamed("id", "_merged"), "_merged", key=key).drop("_merged")
+    return sets.renumber(kept.withColumnRenamed("id", "_merged"), F.length("_merged"), "_merged", key=key).drop("_merged")
 
 
 def progression_inputs(setting: DataFrame, prefixes: DataFrame, ordinal: str) -> tuple[DataFrame, DataFrame]:

@@ -56,7 +56,7 @@ def sidecars(spark: SparkSession, pattern: str, schema: str, name: str = "id") -
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Paths below a folder; the contents aren't read."""
+    """Paths of the files below a folder that aren't empty; the contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
 

@@ -61,8 +61,11 @@ def id_list(rows: DataFrame, key: str, where: str) -> None:
 
 
 def summary(spark: SparkSession, rows: DataFrame, where: str, limit: int = 10_000) -> None:
-    """A small aggregate as one JSON file."""
-    write_text(spark, where, json.dumps([json.loads(x) for x in rows.limit(limit).toJSON().collect()], indent=2, ensure_ascii=False))
+    """A small aggregate as one JSON file; more than ``limit`` rows are an error."""
+    found = rows.limit(limit + 1).toJSON().collect()
+    if len(found) > limit:
+        raise ValueError(f"a summary of more than {limit} rows belongs in a table")
+    write_text(spark, where, json.dumps([json.loads(x) for x in found], indent=2, ensure_ascii=False))
 
 
 def rewrite(rows: DataFrame, where: str) -> str:

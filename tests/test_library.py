@@ -164,10 +164,14 @@ def test_generators(spark):
     assert len({(r["shape"], r.direction, r.angle, r.initial, r.x, r.y) for r in rotation}) == len(rotation)
     assert all(sum(a > 0 for a in r.angles) == r.turned for r in generators.puzzle_parameters(spark, 100).collect())
     combos = generators.analogy_parameters(spark, 200).collect()
-    assert len({tuple(r) for r in combos}) == 200 and all(r.colour_from != r.colour_to for r in combos)
+    assert len({tuple(r)[1:] for r in combos}) == 200 and sorted(r.place for r in combos) == list(range(200))
+    assert all(r.colour_from != r.colour_to and r.move_from != r.move_to and r["shape"] != r.second_shape for r in combos)
+    assert all(generators.MOVES[r.move_to] == r.move_pixels for r in combos)
+    with pytest.raises(ValueError):
+        generators.analogy_parameters(spark, 111, shapes=("a", "b"), colours=2)
     layouts = generators.placement_layouts(spark, 40)
     assert objects.valid_layouts(layouts, 10.0).filter("not valid").count() == 0
-    assert generators.canonical('{"b": 0.12345678, "a": {"image_path": 1, "c": [1.0000001]}}') == '{"a":{"c":[1.0]},"b":0.123457}'
+    assert generators.canonical('{"b": 0.12345678, "a": {"image_path": 1, "c": [1.0000001]}, "my_seed": 3, "Video_Temp_Path": 1, "n": null, "é": true}') == '{"a": {"c": [1.0], "image_path": 1}, "b": 0.123457, "é": true}'
     url = spark.range(1).select(generators.without_credentials(F.lit("https://u:t@host/x/y.git")).alias("u")).first().u
     assert url == "https://host/x/y"
 
