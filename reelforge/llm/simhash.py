@@ -194,13 +194,24 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+_SEEDS = mix64(np.arange(1, max(WORDS, WIDE) + 1, dtype=np.uint64))
+
+
 def wide_print(hashes: np.ndarray) -> tuple[list[int], np.ndarray]:
     """The words of the wide fingerprint; smallest hashes, then segments."""
-    seeds = mix64(np.arange(1, max(WORDS, WIDE) + 1, dtype=np.uint64))
-    words = [fingerprint(hashes if k == 0 else mix64(hashes + seeds[k])) for k in range(WORDS)]
-    whole = sum(word << 64 * k for k, word in enumerate(words))
-    low = [int(mix64(hashes ^ seed).min()) if len(hashes) else 0 for seed in seeds[:WIDE]]
-    return words, np.array(low + [whole >> 23 * k & (1 << 23) - 1 for k in range(WIDE)], dtype=np.uint64)
+    ones = np.zeros((WORDS, 64), dtype=np.int64)
+    low = np.full(WIDE, np.iinfo(np.uint64).max if len(hashes) else 0, dtype=np.uint64)
+    for at in range(0, len(hashes), 1 << 13):
+        part = hashes[at : at + (1 << 13)]
+        mixed = mix64(part[None, :] + _SEEDS[:WORDS, None])
+        mixed[0] = part
+        bits = np.unpackbits(mixed.astype("<u8", copy=False).view(np.uint8).reshape(WORDS, len(part), 8), axis=2, bitorder="little")
+        ones += bits.sum(axis=1, dtype=np.uint16)
+        low = np.minimum(low, mix64(part[None, :] ^ _SEEDS[:WIDE, None]).min(axis=1))
+    bits = np.packbits((ones * 2 > len(hashes)).astype(np.uint8), axis=1, bitorder="little")
+    whole = int.from_bytes(bits.tobytes(), "little")
+    cut = [whole >> 23 * k & (1 << 23) - 1 for k in range(WIDE)]
+    return bits.view("<u8").ravel().tolist(), np.concatenate([low, np.array(cut, dtype=np.uint64)])
 
 
 def _fingerprints(shingle: int, wide: bool):
