@@ -7,10 +7,12 @@ give the spans.
 
 Battery: a long run of key characters gets the narrowest encoding that holds it
 (hex, upper or lower base 36, base 62, base 64).  Under the hypothesis that its
-characters are uniform over that alphabet, a chi-squared over five bins of the
-alphabet (4 degrees of freedom), the squared z-score of the runs above and below
-the middle, and that of the serial correlation sum to chi-squared with 6 degrees
-of freedom.  Words and identifiers get a small p there, secrets a uniform one.
+characters are uniform over that alphabet, three statistics add up to one of
+chi-squared: that of the counts of all symbols (of classes of neighbouring symbols
+where the run is too short to expect five of each), the squared z-score of the
+runs above and below the middle, and that of the serial correlation.  Its p is
+taken from the Wilson-Hilferty cube root.  Words and identifiers get a small p
+there, secrets a uniform one.
 For each encoding and band of lengths, the number of truly random runs is twice
 that of runs with p above one half; the least threshold t is taken at which the
 expected share of others among the runs with p >= t is within ``discovery``.
@@ -28,7 +30,7 @@ from .common import Scratch, prepare
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # the runs of 24 or more: shorter runs fail as a whole
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"  # '=' only pads, so that a name before it is apart
 ALPHABETS = {
     "hex": ("^[0-9a-f]+$", "0123456789abcdef"),
     "heX": ("^[0-9A-F]+$", "0123456789ABCDEF"),
@@ -40,6 +42,10 @@ ALPHABETS = {
 #: Lower ends of the length bands, and steps of p in the histogram.
 BANDS = (20, 28, 40, 64, 128)
 STEPS = 50
+#: Symbols expected in each class of the uniformity test, and the fewest classes.
+EXPECTED, CLASSES = 5, 4
+#: Lengths that one fold adds up; more are added up level by level.
+FOLD = 64
 
 
 def _pieces(pattern: str) -> Column:
@@ -48,23 +54,32 @@ def _pieces(pattern: str) -> Column:
     return F.split(F.regexp_replace(plain, pattern, "\u0001$0\u0001"), "\u0001", -1)
 
 
-def _spans(pieces: str) -> Column:
-    """array<struct<start, end, match>> from a column of pieces."""
-    return F.expr(
-        f"""aggregate({pieces},
-            named_struct('at', 0, 'odd', false, 'out', cast(array() as array<struct<start:int,end:int,match:string>>)),
-            (s, p) -> named_struct('at', s.at + length(p), 'odd', not s.odd, 'out',
-                if(s.odd, concat(s.out, array(named_struct('start', s.at, 'end', s.at + length(p), 'match', p))), s.out)),
-            s -> s.out)"""
-    )
+def _running(values: str, level: int = 0) -> str:
+    """SQL for the sums before each of the values (array<int>, not empty).
+
+    A fold copies what it has at each step, so it runs over ``FOLD`` values only;
+    the sums of such chunks are added up in the same way: linear on the whole.
+    """
+    v, c, o, x, i, y, j = (f"{name}{level}" for name in "vcoxiyj")
+    fold = lambda of: f"slice(aggregate({of}, array(0), (s, y) -> concat(s, array(element_at(s, -1) + y))), 1, size({of}))"
+    if level == 2:
+        return fold(values)
+    chunks = f"transform(sequence(0, cast(floor((size({v}) - 1) / {FOLD}) as int)), {i} -> slice({v}, {i} * {FOLD} + 1, {FOLD}))"
+    sums = f"transform({c}, {y} -> aggregate({y}, 0, (s, z) -> s + z))"
+    within = f"flatten(transform({c}, ({x}, {j}) -> transform({fold(x)}, z -> z + {o}[{j}])))"
+    return _let(v, values, _let(c, chunks, _let(o, _running(sums, level + 1), within)))
 
 
-def _encoding(token: str) -> Column:
-    out = F.lit("b64")
-    for name, (shape, _) in reversed(ALPHABETS.items()):
-        if shape:
-            out = F.when(F.col(token).rlike(shape), name).otherwise(out)
-    return out
+def _let(name: str, value: str, body: str) -> str:
+    """SQL that evaluates a value once for all its uses."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _spans(pieces: str) -> Column:
+    """array<struct<start, end, match>> from a column of pieces."""
+    at = _running(f"transform({pieces}, p -> length(p))")
+    spans = f"transform(sequence(1, size({pieces}) - 2, 2), i -> named_struct('start', at[i], 'end', at[i] + length({pieces}[i]), 'match', {pieces}[i]))"
+    return F.expr(f"if(size({pieces}) > 2, {_let('at', at, spans)}, cast(array() as array<struct<start:int,end:int,match:string>>))")
 
 
 def _battery() -> str:
@@ -80,24 +95,23 @@ def _battery() -> str:
     for name, (_, letters) in ALPHABETS.items():
         if name != "b64":
             alphabet = f"if(k = '{name}', '{letters}', {alphabet})"
-    # Symbols as values; '-' and '_' stand for '+' and '/', '=' only pads.
-    values = f"transform(split(translate(rtrim('=', t.match), '-_=', '+/0'), ''), c -> locate(c, {alphabet}) - 1)"
-    size = f"length({alphabet})"
-    fold = """aggregate(v, named_struct('n', 0D, 'last', -1D, 'runs', 0D, 'serial', 0D, 'b0', 0D, 'b1', 0D, 'b2', 0D, 'b3', 0D, 'b4', 0D),
+    # '-' and '_' stand for '+' and '/', '=' only pads.
+    plain = "translate(rtrim('=', t.match), '-_=', '+/0')"
+    values = f"transform(split(c, ''), x -> locate(x, {alphabet}) - 1)"
+    fold = """aggregate(v, named_struct('n', 0D, 'last', -1D, 'runs', 0D, 'serial', 0D),
         (s, x) -> named_struct('n', s.n + 1D, 'last', cast(x as double),
             'runs', s.runs + if(s.last >= 0 and (s.last >= w / 2D) <> (x >= w / 2D), 1D, 0D),
-            'serial', s.serial + if(s.last >= 0, (s.last - (w - 1D) / 2D) * (x - (w - 1D) / 2D), 0D),
-            'b0', s.b0 + if(floor(x * 5D / w) = 0, 1D, 0D), 'b1', s.b1 + if(floor(x * 5D / w) = 1, 1D, 0D), 'b2', s.b2 + if(floor(x * 5D / w) = 2, 1D, 0D),
-            'b3', s.b3 + if(floor(x * 5D / w) = 3, 1D, 0D), 'b4', s.b4 + if(floor(x * 5D / w) = 4, 1D, 0D)))"""
-    wide = "(ceil((%d + 1) * w / 5D) - ceil(%d * w / 5D))"
-    chi = " + ".join(f"power(f.b{i} - f.n * {wide % (i, i)} / w, 2) / (f.n * {wide % (i, i)} / w)" for i in range(5))
+            'serial', s.serial + if(s.last >= 0, (s.last - (w - 1D) / 2D) * (x - (w - 1D) / 2D), 0D)))"""
+    counts = f"transform(split({alphabet}, ''), a -> length(c) - length(replace(c, a, '')))"
+    low = "cast(ceil(%s * w / b) as int)"
+    each = f"power(aggregate(slice(u, {low % 'i'} + 1, {low % '(i + 1)'} - {low % 'i'}), 0, (s, y) -> s + y) - f.n * ({low % '(i + 1)'} - {low % 'i'}) / w, 2) / (f.n * ({low % '(i + 1)'} - {low % 'i'}) / w)"
+    chi = f"aggregate(transform(sequence(0, cast(b as int) - 1), i -> {each}), 0D, (s, y) -> s + y)"
     x = f"({chi} + power((f.runs - (f.n - 1) / 2D) / sqrt((f.n - 1) / 4D), 2) + power(f.serial / sqrt((f.n - 1) * power((w * w - 1D) / 12D, 2)), 2))"
-    tail = "exp(-x / 2D) * (1D + x / 2D + x * x / 8D)"
-
-    def let(name: str, value: str, body: str) -> str:  # evaluates value once
-        return f"transform(array({value}), {name} -> {body})[0]"
-
-    p = let("k", kind, let("v", values, let("w", f"cast({size} as double)", let("f", fold, let("x", x, f"named_struct('encoding', k, 'p', {tail})")))))
+    z = "(power(x / (b + 1), 1 / 3D) - (1 - 2 / (9 * (b + 1)))) / sqrt(2 / (9 * (b + 1)))"  # b - 1 degrees of the counts, two more
+    tail = "1 / (1 + exp(1.5976 * z + 0.07056 * z * z * z))"  # of the normal distribution, to four places
+    classes = f"least(w, greatest({CLASSES}D, floor(f.n / {EXPECTED}D)))"
+    body = _let("b", classes, _let("u", counts, _let("x", x, _let("z", z, f"named_struct('encoding', k, 'p', {tail})"))))
+    p = _let("k", kind, _let("c", plain, _let("v", values, _let("w", f"cast(length({alphabet}) as double)", _let("f", fold, body)))))
     return f"if(t.match rlike '[0-9]' and t.match rlike '[A-Za-z]' and length(rtrim('=', t.match)) >= 20, {p}, null)"
 
 
@@ -127,11 +141,6 @@ def scan(docs: DataFrame, discovery: float = 0.1) -> DataFrame:
         )
     )
     limits = thresholds(staged, discovery)
-    passed = F.lit(2.0)
-    for (encoding, band), least in limits.items():
-        end = BANDS[BANDS.index(band) + 1] if band != BANDS[-1] else 1 << 30
-        passed = F.when((F.col("t.test.encoding") == encoding) & F.col("t.size").between(band, end - 1), least).otherwise(passed)
-
     def limit(t: Column) -> Column:
         out = F.lit(2.0)
         for (encoding, band), least in limits.items():

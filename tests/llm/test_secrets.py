@@ -44,17 +44,57 @@ def test_base_spans(spark, tmp_path):
     assert op7_secrets(spark, write(spark, tmp_path / "e", [])).collect() == []
 
 
-def test_battery_tells_random_from_names(spark):
-    rng = random.Random(5)
-    alphabets = [string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits, "0123456789abcdef", "0123456789ABCDEF"]
-    secret = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(30, 60))) for _ in range(300)]
-    words = "get set user name value list item index count_of total report http html page view_model data2 v1 Test Case".split()
-    names = ["_".join(rng.choices(words, k=7)) + str(rng.randint(1, 9)) for _ in range(300)]
-    docs = [(i, f"x {t} y", "") for i, t in enumerate(secret + names)]
+ALPHABETS = {
+    "b64": string.ascii_letters + string.digits + "+/",
+    "b62": string.ascii_letters + string.digits,
+    "hex": "0123456789abcdef",
+    "heX": "0123456789ABCDEF",
+    "b36": string.ascii_lowercase + string.digits,
+}
+NAME_WORDS = "get set user name value list item index count_of total report http html page view_model data2 v1 Test Case".split()
+
+
+def scanned(spark, texts):
+    docs = [(i, f"x {t} y", "") for i, t in enumerate(texts)]
     got = {r.doc_id: r.random for r in secrets.scan(spark.createDataFrame(docs, "doc_id long, text string, base string")).collect()}
-    assert sum(bool(got[i]) for i in range(300)) > 200
-    assert sum(bool(got[i]) for i in range(300, 600)) < 40
     assert all(s.start == 2 and docs[i][1][s.start : s.end] == docs[i][1][2:-2] for i in got for s in got[i])
+    return [bool(got[i]) for i in range(len(texts))]
+
+
+def test_recall_and_false_share_by_encoding(spark):
+    """Planted tokens among as many names, per encoding, from 40 characters on."""
+    rng = random.Random(5)
+    planted = {k: ["".join(rng.choices(letters, k=rng.randint(40, 90))) for _ in range(200)] for k, letters in ALPHABETS.items()}
+    names = ["_".join(rng.choices(NAME_WORDS, k=9)) + str(rng.randint(1, 9)) for _ in range(400)]
+    camel = ["".join(w.title() for w in rng.choices(NAME_WORDS, k=11)) + str(rng.randint(1, 9)) for _ in range(200)]
+    texts = [t for k in planted for t in planted[k]] + names + [c.replace("_", "") for c in camel]
+    found = scanned(spark, texts)
+    for at, k in enumerate(planted):
+        assert sum(found[200 * at : 200 * at + 200]) >= 0.9 * 200, k
+    false = sum(found[1000:])
+    assert false <= 0.1 * sum(found)
+
+
+def test_battery_sees_a_narrow_alphabet(spark):
+    """Five symbols, one of each fifth of the alphabet, aren't uniform over it."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("147ad", k=90)) for _ in range(100)] + ["".join(rng.choices("0123456789abcdef", k=90)) for _ in range(300)]
+    found = scanned(spark, texts)
+    assert sum(found[:100]) <= 5 and sum(found[100:]) >= 270
+
+
+def test_names_before_equals_signs_are_apart(spark):
+    rng = random.Random(7)
+    secret = ["".join(rng.choices(ALPHABETS["b62"], k=48)) for _ in range(200)]
+    got = secrets.scan(spark.createDataFrame([(i, f"DATABASE_ACCESS_KEY={s}=") for i, s in enumerate(secret)], "doc_id long, text string")).collect()
+    assert sum(any((s.start, s.end) == (20, 69) for s in r.random) for r in got) >= 180
+
+
+def test_very_many_matches(spark):
+    """Linear in the matches of one text."""
+    text = " ".join(f"{i:024x}" for i in range(20_000))
+    found = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().base
+    assert [(s.start, s.end) for s in found] == [(25 * i, 25 * i + 24) for i in range(20_000)]
 
 
 def test_no_python_in_the_plan(spark, capsys):
