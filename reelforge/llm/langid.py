@@ -29,8 +29,8 @@ from .common import Scratch, fresh, prepare
 
 UNDETERMINED = "und"
 ORDERS = (4, 3, 2, 1)
-#: Words remembered from batch to batch.
-CACHE = 300_000
+#: Words, and their characters, remembered from batch to batch.
+CACHE, CACHE_CHARS = 300_000, 1 << 24
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -143,6 +143,7 @@ class Scorer:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.table = np.zeros((0, self.width))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -150,11 +151,12 @@ class Scorer:
         langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         if not self.width:
             return langs, scores
-        if len(self.place) > CACHE:
+        if len(self.place) > CACHE or self.chars > CACHE_CHARS:
             self.clear()
         place = self.place
         fresh = list({w for ws in words for w in ws if w not in place})
         if fresh:
+            self.chars += sum(map(len, fresh))
             place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
             self.table = np.concatenate([self.table, self.model.words(fresh)])
         for i, ws in enumerate(words):
@@ -167,9 +169,11 @@ class Scorer:
         return langs, scores
 
 
-def _score(model: Model, keep: list[str], added: list[str]):
+def _score(model, keep: list[str], added: list[str]):
+    """model: broadcast, so that an executor gets it once and not with each task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = Scorer(model.value)
         for batch in batches:
             langs, scores = scorer.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, *added])
@@ -186,7 +190,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(model, ["doc_id"], ["lang_pred", "score"]), "doc_id long, lang_pred string, score double")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(_score(sent, ["doc_id"], ["lang_pred", "score"]), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, **bounds) -> DataFrame:
@@ -197,5 +202,6 @@ def keep_identified(docs: DataFrame, least: float = 0.5, **bounds) -> DataFrame:
     """
     model, names, added = fit(docs, **bounds), docs.columns, fresh(docs, "lang_pred", "lang_score")
     schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
-    kept = docs.mapInArrow(_score(model, names, added), schema).filter((F.col(added[0]) != UNDETERMINED) & (F.col(added[1]) >= least))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.mapInArrow(_score(sent, names, added), schema).filter((F.col(added[0]) != UNDETERMINED) & (F.col(added[1]) >= least))
     return kept.withColumn("lang", F.coalesce("lang", added[0])).select(*[F.col(f"`{c}`") for c in names])

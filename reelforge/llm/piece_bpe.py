@@ -8,6 +8,12 @@ score first and leftmost among equals: occurrences are merged together only if
 no pair that such a merge can create scores as well or better ("calm" pieces);
 of other pieces only the leftmost occurrence is merged in a round.
 
+A long word (unspaced script, base64, minified code) would take a round for each
+of its ranks.  There a round takes every pair that is best within as many symbols
+on either side as the longest piece has characters: nothing outside that window
+can grow a piece that reaches the pair before the pair itself is the best one.
+Rounds then depend on the window, not on the word.
+
 A word is a run of spaces with what follows it.  No piece of the model holds a
 space after another character, so that no merge crosses a word's start; the
 same holds for line feeds, which are in no piece.  Both are checked on loading.
@@ -15,7 +21,6 @@ same holds for line feeds, which are in no piece.  Both are checked on loading.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -28,11 +33,10 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 SPACE = "▁"
-#: Symbols from which on a word is merged with a priority queue instead of in
-#: rounds, whose number grows with the word.
-LONG = 1024
-#: Distinct words remembered from batch to batch.
-CACHE = 400_000
+#: Symbols from which on the rounds of a word look at windows.
+LONG = 256
+#: Distinct words, and their characters, remembered from batch to batch.
+CACHE, CACHE_CHARS = 400_000, 1 << 24
 _NONE = np.iinfo(np.int32).max
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
 
@@ -78,6 +82,7 @@ class PieceModel:
                     if part < size and rank[i] <= rank[part]:
                         calm[part] = False
         self.rank, self.calm = rank, calm
+        self.window = 1 << max(map(len, normal)).bit_length()
         self._hash(np.array(keys, dtype=np.uint64), np.array(merged, dtype=np.int32))
         # Bytes of each piece for decoding.
         raw = [b"" if special[i] else self.pieces[i].replace(SPACE, " ").encode() for i in range(size)]
@@ -148,15 +153,10 @@ class PieceModel:
         sym = self._symbols(points)
         word = np.repeat(np.arange(len(texts)), lengths)
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        long = np.flatnonzero(lengths > LONG)
-        if len(long):
-            ends = np.cumsum(lengths)
-            for w in long.tolist():
-                out = self._merge_queue(sym[ends[w] - lengths[w] : ends[w]].tolist())
-                done.append((np.full(len(out), w), np.array(out, dtype=np.int32)))
-            keep = lengths[word] <= LONG
-            sym, word = sym[keep], word[keep]
-        self._rounds(sym, word, done)
+        long = lengths[word] > LONG
+        self._rounds(sym[~long], word[~long], done)
+        if long.any():
+            self._window_rounds(sym[long], word[long], done)
         if not done:
             return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
         word = np.concatenate([d[0] for d in done])
@@ -210,46 +210,38 @@ class PieceModel:
             word_of = np.cumsum(lead) - 1
             all_calm = np.logical_and.reduceat(self.calm[piece[at]], np.flatnonzero(lead))
             at = at[lead | (all_calm[word_of] & (since % 2 == 0))]
-            sym[at] = piece[at]
-            stay = np.ones(len(sym), dtype=bool)
-            stay[at + 1] = False
-            moved = np.cumsum(stay) - 1
-            sym, word, rank, piece = sym[stay], word[stay], rank[stay], piece[stay]
-            at = moved[at]
-            touched = np.unique(np.concatenate([at, at[at > 0] - 1]))
-            rank[touched], piece[touched] = self._ranks(sym, word, touched)
-
-    def _merge_queue(self, sym: list[int]) -> list[int]:
-        """One word, pair by pair, by a priority queue over a linked list."""
-        n = len(sym)
-        left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        queue: list[tuple[int, int, int, int]] = []
-        known: dict[tuple[int, int], int] = {}
-
-        def offer(i: int) -> None:
-            j = right[i] if i >= 0 else n
-            if i < 0 or j >= n:
-                return
-            pair = (sym[i], sym[j])
-            if pair not in known:
-                known[pair] = int(self.pair(np.array(pair[:1]), np.array(pair[1:]))[0])
-            if known[pair] >= 0:
-                heapq.heappush(queue, (int(self.rank[known[pair]]), i, sym[i], sym[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        while queue:
-            _, i, a, b = heapq.heappop(queue)
-            j = right[i]
-            if not alive[i] or j >= n or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], alive[j] = known[a, b], False
-            right[i] = right[j]
-            if right[i] < n:
-                left[right[i]] = i
-            offer(left[i])
-            offer(i)
-        return [s for s, keep in zip(sym, alive, strict=True) if keep]
+            sym, word, rank, piece = self._merged(at, sym, word, rank, piece)
+
+    def _merged(self, at: np.ndarray, sym: np.ndarray, word: np.ndarray, rank: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The arrays after merging the pairs that start at the given positions."""
+        sym[at] = piece[at]
+        stay = np.ones(len(sym), dtype=bool)
+        stay[at + 1] = False
+        moved = np.cumsum(stay) - 1
+        sym, word, rank, piece = sym[stay], word[stay], rank[stay], piece[stay]
+        at = moved[at]
+        touched = np.unique(np.concatenate([at, at[at > 0] - 1]))
+        rank[touched], piece[touched] = self._ranks(sym, word, touched)
+        return sym, word, rank, piece
+
+    def _window_rounds(self, sym: np.ndarray, word: np.ndarray, done: list) -> None:
+        """The same result; each round merges all pairs that are best in their window.
+
+        Among equal ranks side by side the leftmost counts: such a run is merged
+        only if it is known from its first pair on, every second pair of it.
+        """
+        rank, piece = self._ranks(sym, word, np.arange(len(sym)))
+        while len(sym) and (rank != _NONE).any():
+            before, after = _lowest(rank, self.window), _lowest(rank[::-1], self.window)[::-1]
+            best = (rank != _NONE) & (rank <= after) & ((rank < before) | ((rank == before) & self.calm[piece]))
+            at = np.flatnonzero(best)
+            run = np.ones(len(at), dtype=bool)
+            run[1:] = at[1:] != at[:-1] + 1
+            first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+            known = (at[first] == 0) | (rank[at[first] - 1] != rank[at[first]])
+            at = at[known & ((np.arange(len(at)) - first) % 2 == 0)]
+            sym, word, rank, piece = self._merged(at, sym, word, rank, piece)
+        done.append((word, sym))
 
     def _bytes(self, sym: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Symbols that are no piece become the pieces of their UTF-8 bytes."""
@@ -293,8 +285,17 @@ class PieceModel:
         return self.decode_flat(np.array(ids, dtype=np.int64), np.array([len(ids)]))[0]
 
 
+def _lowest(rank: np.ndarray, width: int) -> np.ndarray:
+    """The least of the ``width`` (a power of two) ranks before each position."""
+    low, step = rank.copy(), 1
+    while step < width:
+        low[step:] = np.minimum(low[step:], low[:-step])
+        step *= 2
+    return np.concatenate([np.full(1, _NONE, dtype=rank.dtype), low[:-1]])
+
+
 class WordCache:
-    """Ids of words seen, bounded; word k has flat[start[k] : start[k] + count[k]]."""
+    """Ids of words seen, bounded in number and characters; word k has flat[start[k] : start[k] + count[k]]."""
 
     def __init__(self, model: PieceModel):
         self.model = model
@@ -302,16 +303,18 @@ class WordCache:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.flat = np.zeros(0, dtype=np.int32)
         self.start = self.count = np.zeros(0, dtype=np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids with end ids, ids of each text)."""
         keys = [self.model.words(t or "") for t in texts]
-        if len(self.place) > CACHE:
+        if len(self.place) > CACHE or self.chars > CACHE_CHARS:
             self.clear()
         fresh = list({k for ks in keys for k in ks if k not in self.place})
         if fresh:
+            self.chars += sum(map(len, fresh))
             ids, counts = self.model.encode_words(fresh)
             known = len(self.place)
             self.place.update(zip(fresh, range(known, known + len(fresh)), strict=True))

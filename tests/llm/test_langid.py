@@ -1,3 +1,4 @@
+import math
 import zlib
 
 from reelforge.llm import langid
@@ -68,3 +69,44 @@ def test_keep_identified_with_clashing_columns(spark):
     assert got.columns == frame.columns
     found = {r.doc_id: r for r in got.collect()}
     assert sorted(found) == [*range(40), 90] and found[90].lang == "en" and found[90].lang_pred == "y" and found[7]._lang_pred == 7
+
+
+def brute_score(texts, labelled, least=1):
+    """The word-first backoff with plain dictionaries over all labelled texts."""
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    langs = sorted({lang for _, lang in labelled})
+    counts = {}
+    for text, lang in labelled:
+        for word in letters(text):
+            pieces = [(0, word)] + [(1, c) for c in word] + [(n, f" {word} "[i : i + n]) for n in (2, 3, 4) for i in range(len(word) + 3 - n)]
+            for piece in pieces:
+                counts.setdefault(piece, dict.fromkeys(langs, 0))[lang] += 1
+    counts = {k: v for k, v in counts.items() if sum(v.values()) >= least}
+    total = {(n, lang): sum(v[lang] for (kind, _), v in counts.items() if kind == n) for n in range(5) for lang in langs}
+    kinds = {n: sum(kind == n for kind, _ in counts) for n in range(5)}
+    log = lambda n, gram, lang: math.log((counts[n, gram][lang] + 0.5) / (total[n, lang] + 0.5 * kinds[n]))
+    out = []
+    for text in texts:
+        sums = dict.fromkeys(langs, 0.0)
+        words = letters(text or "")
+        for word in words:
+            for n in (0, 4, 3, 2, 1):
+                pieces = [word] if n == 0 else list(word) if n == 1 else [f" {word} "[i : i + n] for i in range(len(word) + 3 - n)]
+                known = [p for p in pieces if (n, p) in counts]
+                if known:
+                    for lang in langs:
+                        sums[lang] += sum(log(n, p, lang) for p in known) / len(known)
+                    break
+        best = max(langs, key=lambda lang: (sums[lang], [-ord(c) for c in lang]))
+        out.append((best, 1 / sum(math.exp(s - sums[best]) for s in sums.values())) if words else ("und", 0.0))
+    return out
+
+
+def test_scores_match_brute_force(spark):
+    labelled = [(text, lang) for _, text, lang, _ in rows()]
+    asked = ["the dog", "schlafsofa", "qqq thematte", "chats zzz", "", None, "12 !", "träumerei le xyz", "mat mat mat der"]
+    model = langid.fit(spark.createDataFrame(rows(), SCHEMA), least=1)
+    docs = spark.createDataFrame([(i, t, None, "") for i, t in enumerate(asked)], SCHEMA)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    for i, (lang, score) in enumerate(brute_score(asked, labelled)):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-9, (asked[i], got[i], lang, score)

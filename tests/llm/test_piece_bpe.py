@@ -41,7 +41,7 @@ def test_equals_library(model, library):
         assert model.decode(ids) == library.decode(ids), repr(text)
 
 
-def test_queue_equals_rounds(model, monkeypatch):
+def test_window_rounds_equal_rounds(model, monkeypatch):
     sample = [t for t in texts() if t]
     rounds = [model.encode(t) for t in sample]
     monkeypatch.setattr(piece_bpe, "LONG", 2)
@@ -49,7 +49,10 @@ def test_queue_equals_rounds(model, monkeypatch):
 
 
 def test_long_words(model, library):
-    for text in (" " * 5000, "ab" * 3000, "theyre" * 900, "中文" * 2000):
+    rng = random.Random(4)
+    glued = "".join(rng.choices([p for p in model.pieces if p.isalpha()], k=5000))
+    base = ["".join(rng.choices(letters, k=20_000)) for letters in ("ABCDEFGHabcdefgh0123456789+/", "etaoinshr", "et", "的一是不了", "a\U0001f600é")]
+    for text in (" " * 5000, "ab" * 3000, "aaab" * 3000, "=" * 50_001, "theyre" * 900, "中文" * 2000, glued, *base):
         assert model.encode(text) == library.encode(text, add_eos=True)
 
 
