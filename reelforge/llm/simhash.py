@@ -491,6 +491,7 @@ def similar(spark: SparkSession, each: DataFrame, groups: DataFrame, shingle: in
     nodes = each.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size")).join(groups, "fp", "left").select("node", "size", F.coalesce("label", "fp").alias("label"))
     nodes = scratch.put(nodes)
     large = nodes.groupBy("label").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / PART_SHINGLES).cast("int").alias("side")).filter("n > 1").select("label", "side")
+    large = scratch.put(large)  # with a known size, so that a hot group needn't be dealt by label
     member = scratch.put(nodes.join(large, "label").select("node", "label", "side"))
     part = F.pmod(F.xxhash64("node"), F.col("side")).cast("int")
     texts = each.groupBy("node").agg(F.min("text").alias("text")).join(member, "node").withColumn("part", part)
