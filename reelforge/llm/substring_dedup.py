@@ -8,10 +8,15 @@ last window it serves) with the gram's hash ``g`` and the hash ``span`` of all
 words its windows cover.
 
 Index: each batch of documents becomes an immutable run of (g, span, n), one row
-for each distinct pair, in buckets of g sorted by g.  Runs of one level are
-merge-joined into one of the next level, bucket by bucket, without a shuffle.
-
-Decision, exact up to 128-bit collisions:
+for each distinct pair, in buckets of g sorted by g and span.  A new batch is
+merge-joined with the runs of earlier ones, its doubtful windows are verified,
+and then its run is compacted with them: runs of one level are merge-joined into
+one of the next.  Buckets have one sorted file each, so these joins neither
+shuffle nor sort.  Runs are plain folders; a manifest names the current ones,
+so that a later session opens the index and goes on with the next batch.
+
+Decision for a batch, exact up to 128-bit collisions (of its windows and of the
+earlier ones that they meet):
   * a posting whose g occurs once has no repeated window;
   * if its (g, span) occurs again, all its windows are repeated ("settled");
   * otherwise, only if its g occurs again, its windows are verified one by one:
@@ -29,6 +34,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,98 +122,145 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tkey", text_key()).select("doc_id", "tkey", "text")
 
 
-class FingerprintIndex:
-    """Sorted runs below the shared folder; ``add`` documents batch by batch."""
+RUN = "g long, span long, n long, leader long"
+POSTING = "doc_id long, tkey long, place int, lo int, hi int, g long, span long"
+MANIFEST = "version int, buckets int, levels array<array<string>>, batches array<string>"
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.scratch = prepare(spark), Scratch(spark, "fingerprints")
-        self.buckets = partitions(spark)
-        self.levels: list[list[str]] = [[]]
-        self.batches: list[DataFrame] = []
 
-    def add(self, docs: DataFrame) -> None:
-        """Index a batch: its postings are kept, its run is merged in."""
-        postings = self.scratch.put(keyed(docs).mapInArrow(_postings, "doc_id long, tkey long, place int, lo int, hi int, g long, span long"))
-        self.batches.append(postings)
-        rows = postings.groupBy("g", "span").agg(F.count("*").alias("n"), F.min(_row_id()).alias("leader"))
-        self.levels[0].append(self._write(rows))
-        level = 0
-        while len(self.levels[level]) >= FANOUT:
-            merged = self._merge(self.levels[level])
-            self.levels[level] = []
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[level + 1].append(merged)
-            level += 1
+class FingerprintIndex:
+    """Sorted runs and postings in a folder that driver and executors share.
 
-    def compact(self) -> DataFrame:
-        """All runs as one."""
-        runs = [r for level in self.levels for r in level]
-        one = runs[0] if len(runs) == 1 else self._merge(runs)
-        self.levels = [[one]]
-        return self.spark.table(one)
+    Without ``path`` the index lives for one call.  With it, a later session
+    goes on with the index that it finds there.  Each change is published by
+    one row of the manifest before replaced runs are deleted, so a driver that
+    dies leaves the last published state.  One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.scratch = prepare(spark), Scratch(spark, "fingerprints")
+        self.root = (path or self.scratch.path()).rstrip("/")
+        self.version, self.buckets, self.levels, self.batches = 0, partitions(spark), [[]], []
+        if path:
+            self._open()
+
+    def _open(self) -> None:
+        try:
+            known = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
+        except AnalysisException as gone:
+            if gone.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        for row in known.orderBy(F.desc("version")).limit(1).collect():
+            self.version, self.buckets, self.levels, self.batches = row["version"], row["buckets"], row["levels"], row["batches"]
+
+    def _publish(self) -> None:
+        self.version += 1
+        row = self.spark.createDataFrame([(self.version, self.buckets, self.levels, self.batches)], MANIFEST)
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+
+    def _new(self, kind: str) -> str:
+        return f"{kind}-{uuid.uuid4().hex}"
 
     def _write(self, rows: DataFrame) -> str:
-        name = f"reelforge_run_{uuid.uuid4().hex}"
-        sorted_ = rows.repartition(self.buckets, "g").sortWithinPartitions("g", "span")
-        sorted_.write.bucketBy(self.buckets, "g").sortBy("g", "span").option("path", self.scratch.path()).format("parquet").saveAsTable(name)
-        return name
-
-    def _merge(self, runs: list[str]) -> str:
-        out = runs[0]
-        for other in runs[1:]:
-            a, b = self.spark.table(out).alias("a"), self.spark.table(other).alias("b")
-            both = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.span") == F.col("b.span")), "full").select(
+        """Rows of a run, each bucket in one task, as a new folder."""
+        run, name = self._new("run"), f"reelforge_{uuid.uuid4().hex}"
+        try:
+            with _bucketed_joins(self.spark):
+                rows.write.bucketBy(self.buckets, "g").sortBy("g", "span").option("path", f"{self.root}/{run}").format("parquet").saveAsTable(name)
+        finally:
+            self.spark.sql(f"drop table if exists {name}")
+        return run
+
+    def _run(self, run: str) -> DataFrame:
+        """A run as a bucketed frame.  Its name in the catalog is gone when this returns."""
+        name, where = f"reelforge_{uuid.uuid4().hex}", f"{self.root}/{run}".replace("'", "\\'")
+        try:
+            self.spark.sql(f"create table {name} ({RUN}) using parquet clustered by (g) sorted by (g, span) into {self.buckets} buckets location '{where}'")
+            return self.spark.table(name)
+        finally:
+            self.spark.sql(f"drop table if exists {name}")
+
+    def _merge(self, a: str, b: str) -> str:
+        left, right = self._run(a).alias("a"), self._run(b).alias("b")
+        return self._write(
+            left.join(right, (F.col("a.g") == F.col("b.g")) & (F.col("a.span") == F.col("b.span")), "full").select(
                 F.coalesce("a.g", "b.g").alias("g"),
                 F.coalesce("a.span", "b.span").alias("span"),
                 (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"),
                 F.least("a.leader", "b.leader").alias("leader"),
             )
-            name = f"reelforge_run_{uuid.uuid4().hex}"
-            with _bucketed_joins(self.spark):
-                both.write.bucketBy(self.buckets, "g").sortBy("g", "span").option("path", self.scratch.path()).format("parquet").saveAsTable(name)
-            for gone in (out, other):
-                self._drop(gone)
-            out = name
-        return out
-
-    def _drop(self, run: str) -> None:
-        where = self.spark.sql(f"describe formatted {run}").filter("col_name = 'Location'").first()["data_type"]
-        self.spark.sql(f"drop table {run}")
-        self.scratch.drop(where)
-
-    def repeated(self) -> DataFrame:
+        )
+
+    def _batch(self, docs: DataFrame) -> tuple[str, str]:
+        """Postings and run of a batch, written but not yet part of the index."""
+        batch = self._new("postings")
+        keyed(docs).mapInArrow(_postings, POSTING).write.parquet(f"{self.root}/{batch}")
+        rows = self._postings_of([batch]).groupBy("g", "span").agg(F.count("*").alias("n"), F.min(_row_id()).alias("leader"))
+        return batch, self._write(rows.repartition(self.buckets, "g"))
+
+    def _postings_of(self, batches: list[str]) -> DataFrame:
+        return self.spark.read.schema(POSTING).parquet(*[f"{self.root}/{b}" for b in batches])
+
+    def _commit(self, batch: str, run: str) -> None:
+        """The batch joins the index; levels with FANOUT runs are compacted."""
+        levels, gone, level = [list(x) for x in self.levels], [], 0
+        levels[0].append(run)
+        while len(levels[level]) >= FANOUT:
+            merged, *rest = levels[level]
+            gone.append(merged)
+            for other in rest:
+                merged = self._merge(merged, other)
+                gone += [other, merged]
+            gone.pop()
+            levels[level] = []
+            if level + 1 == len(levels):
+                levels.append([])
+            levels[level + 1].append(merged)
+            level += 1
+        self.levels, self.batches = levels, [*self.batches, batch]
+        self._publish()
+        for old in gone:
+            self.scratch.drop(f"{self.root}/{old}")
+
+    def add(self, docs: DataFrame) -> None:
+        """Index a batch without asking for its repeated windows."""
+        self._commit(*self._batch(docs))
+
+    def dedup(self, docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """doc_id, tkey, start, end: word ranges that repeated windows cover.
 
-        Ranges may overlap.  Needs the documents again only to verify windows.
+        Windows of the new batch that start elsewhere, in it or in earlier
+        ones, and those of earlier documents that the batch repeats.  Ranges
+        may overlap.  ``history``: the documents indexed before, read only where
+        their windows must be verified.  Then the batch joins the index.
         """
-        run = self.compact()
-        grams = run.groupBy("g").agg(F.sum("n").alias("total"), F.min("n").alias("least")).filter("total > 1")
+        batch, run = self._batch(docs)
+        mine = self._run(run)
+        rows = mine
+        for other in (r for level in self.levels for r in level):
+            rows = rows.union(self._run(other).join(mine.select("g"), "g", "left_semi").select("g", "span", "n", "leader"))
         with _bucketed_joins(self.spark):
-            status = self.scratch.put(run.join(grams, "g").select("g", "span", "n", "leader", (F.col("least") == 1).alias("open")))
-        postings = self.batches[0]
-        for more in self.batches[1:]:
-            postings = postings.union(more)
-        hits = self.scratch.put(postings.join(status, ["g", "span"]).select("doc_id", "tkey", "lo", "hi", "n", "open", (_row_id() == F.col("leader")).alias("leads")))
-        self.settled = hits.filter("n > 1").select("doc_id", "tkey", F.col("lo").alias("start"), (F.col("hi") + WINDOW).alias("end"))
-        self.asked = hits.filter("open and (n = 1 or leads)").select("doc_id", "tkey", "lo", "hi", (F.col("n") == 1).alias("own"))
-        return self.settled
-
-    def verified(self, docs: DataFrame) -> DataFrame:
+            met = self.scratch.put(rows.groupBy("g", "span").agg(F.sum("n").alias("n"), F.min("leader").alias("leader")))
+            grams = met.groupBy("g").agg(F.sum("n").alias("total"), F.min("n").alias("least")).filter("total > 1")
+            status = self.scratch.put(met.join(grams, "g").select("g", "span", "n", "leader", (F.col("least") == 1).alias("open")))
+        hits = self._postings_of([*self.batches, batch]).join(status, ["g", "span"])
+        hits = self.scratch.put(hits.select("doc_id", "tkey", "lo", "hi", "n", "open", (_row_id() == F.col("leader")).alias("leads")))
+        settled = hits.filter("n > 1").select("doc_id", "tkey", F.col("lo").alias("start"), (F.col("hi") + WINDOW).alias("end"))
+        asked = hits.filter("open and (n = 1 or leads)").select("doc_id", "tkey", "lo", "hi", (F.col("n") == 1).alias("own"))
+        texts = keyed(docs) if history is None else keyed(history).union(keyed(docs))
+        found = self.scratch.put(settled.union(self._verified(texts, asked)))
+        self._commit(batch, run)
+        return found
+
+    def _verified(self, texts: DataFrame, asked: DataFrame) -> DataFrame:
         """Ranges of single windows that were verified to be repeated."""
-        asked = self.scratch.put(self.asked.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("lo", "hi", "own")).alias("asked")))
-        rows = _join(keyed(docs), asked, "inner").select("doc_id", "tkey", "text", "asked")
+        asked = self.scratch.put(asked.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("lo", "hi", "own")).alias("asked")))
+        rows = _join(texts, asked, "inner").select("doc_id", "tkey", "text", "asked")
         windows = self.scratch.put(rows.mapInArrow(_windows, "doc_id long, tkey long, start int, own boolean, h1 long, h2 long"))
         again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.bool_or("own").alias("any_own")).filter("n > 1 and any_own").select("h1", "h2")
         again = self.scratch.put(again)
         return windows.filter("own").join(again, ["h1", "h2"]).select("doc_id", "tkey", "start", (F.col("start") + WINDOW).alias("end"))
 
-    def close(self) -> None:
-        """Forget the runs; postings and stages go with the driver."""
-        for run in (r for level in self.levels for r in level):
-            self._drop(run)
-        self.levels = [[]]
-
 
 def _row_id():
     return F.xxhash64("doc_id", "tkey", "place")
@@ -215,14 +268,16 @@ def _row_id():
 
 @contextmanager
 def _bucketed_joins(spark: SparkSession):
-    """Let a join on (g, span) use the buckets of g."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    old = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """Let joins use the buckets of g, also on (g, span), and the order of their files."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+    old = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, old)
+        for name, value in old.items():
+            spark.conf.set(name, value)
 
 
 def _join(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -279,12 +334,24 @@ def remove_repeated(docs: DataFrame, batches: int = 2) -> DataFrame:
     on it.  A null text has no words; texts shorter than a window stay; rows
     that repeat a row are further places of its windows.
     """
-    spark = prepare(docs.sparkSession)
-    index = FingerprintIndex(spark)
-    part = F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches))
+    index = FingerprintIndex(docs.sparkSession)
+    part, found = F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches)), None
     for k in range(batches):
-        index.add(docs.filter(part == k))
-    ranges = index.repeated().union(index.verified(docs))
-    ranges = index.scratch.put(ranges.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
-    index.close()
+        ranges = index.dedup(docs.filter(part == k), docs.filter(part < k) if k else None)
+        found = ranges if found is None else found.union(ranges)
+    return _without(docs, found, index.scratch)
+
+
+def remove_in_batch(index: FingerprintIndex, docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """The columns of ``remove_repeated`` for a new batch, which then joins ``index``.
+
+    Words go where a window also starts elsewhere in the batch or in an earlier
+    one; earlier documents stay as they are.  ``history``: the documents indexed
+    so far.  Null, short and repeated texts as in ``remove_repeated``.
+    """
+    return _without(docs, index.dedup(docs, history), index.scratch)
+
+
+def _without(docs: DataFrame, ranges: DataFrame, scratch: Scratch) -> DataFrame:
+    ranges = scratch.put(ranges.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "end")).alias("ranges")))
     return _join(keyed(docs), ranges, "left").select("doc_id", "text", "ranges").mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")

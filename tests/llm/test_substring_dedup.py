@@ -8,11 +8,13 @@ SCHEMA = "doc_id long, text string, place int"
 W = substring_dedup.WINDOW
 
 
-def brute(rows):
+def brute(rows, only=None):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, _ in rows]
     seen = Counter(tuple(w[s : s + W]) for w in words for s in range(len(w) - W + 1))
     out = []
-    for (doc, _, _), w in zip(rows, words, strict=True):
+    for i, ((doc, _, _), w) in enumerate(zip(rows, words, strict=True)):
+        if only is not None and i not in only:
+            continue
         gone = set()
         for s in range(len(w) - W + 1):
             if seen[tuple(w[s : s + W])] > 1:
@@ -62,3 +64,35 @@ def test_batches_do_not_matter(spark):
 def test_empty(spark):
     assert got(spark, []) == []
     assert got(spark, [(1, "one two", 3)]) == [(1, 2, 0, "one two")]
+
+
+def test_an_index_is_opened_again_and_asked_with_the_next_batch(spark, tmp_path):
+    rows, where = corpus(), str(tmp_path / "index's")
+    days = [rows[0::3], rows[1::3], rows[2::3]]
+    frames = [spark.createDataFrame(day, SCHEMA) for day in days]
+    history = None
+    for day, frame in enumerate(frames):
+        index = substring_dedup.FingerprintIndex(spark, where)
+        assert (index.version, len(index.batches)) == (day, day)
+        got = sorted(map(tuple, substring_dedup.remove_in_batch(index, frame, history).collect()), key=str)
+        so_far = [row for past in days[: day + 1] for row in past]
+        want = brute(so_far, only=range(len(so_far) - len(days[day]), len(so_far)))
+        assert got == want
+        history = frame if history is None else history.union(frame)
+    assert [len(level) for level in index.levels] == [1, 1]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("reelforge")]
+
+
+def test_runs_are_merged_without_shuffle_or_sort(spark, tmp_path):
+    index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"))
+    a, b = (index._run(index._batch(spark.createDataFrame(corpus()[k::2], SCHEMA))[1]) for k in range(2))
+    with substring_dedup._bucketed_joins(spark):
+        joined = a.join(b.hint("merge"), ["g", "span"], "full")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
+def test_a_row_repeated_very_often(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 0)] * 3000 + [(2, text + " tail", 0), (3, "other " * 20 + text[: text.index("w50")], 0)]
+    assert got(spark, rows) == brute(rows)
