@@ -180,8 +180,9 @@ class FingerprintIndex:
         finally:
             self.spark.sql(f"drop table if exists {name}")
 
-    def _merge(self, a: str, b: str) -> str:
-        left, right = self._run(a).alias("a"), self._run(b).alias("b")
+    def _merge(self, left: DataFrame, right: DataFrame) -> str:
+        """Two runs as one, by a merge join of their buckets."""
+        left, right = left.alias("a"), right.alias("b")
         return self._write(
             left.join(right, (F.col("a.g") == F.col("b.g")) & (F.col("a.span") == F.col("b.span")), "full").select(
                 F.coalesce("a.g", "b.g").alias("g"),
@@ -209,7 +210,7 @@ class FingerprintIndex:
             merged, *rest = levels[level]
             gone.append(merged)
             for other in rest:
-                merged = self._merge(merged, other)
+                merged = self._merge(self._run(merged), self._run(other))
                 gone += [other, merged]
             gone.pop()
             levels[level] = []
@@ -235,14 +236,18 @@ class FingerprintIndex:
         their windows must be verified.  Then the batch joins the index.
         """
         batch, run = self._batch(docs)
-        mine = self._run(run)
-        rows = mine
+        mine, met = self._run(run), run
         for other in (r for level in self.levels for r in level):
-            rows = rows.union(self._run(other).join(mine.select("g"), "g", "left_semi").select("g", "span", "n", "leader"))
+            # grams of the batch in an earlier run, joined bucket by bucket
+            last, met = met, self._merge(self._run(met), self._run(other).join(mine.select("g"), "g", "left_semi").select("g", "span", "n", "leader"))
+            if last != run:
+                self.scratch.drop(f"{self.root}/{last}")
+        rows = self._run(met)
         with _bucketed_joins(self.spark):
-            met = self.scratch.put(rows.groupBy("g", "span").agg(F.sum("n").alias("n"), F.min("leader").alias("leader")))
-            grams = met.groupBy("g").agg(F.sum("n").alias("total"), F.min("n").alias("least")).filter("total > 1")
-            status = self.scratch.put(met.join(grams, "g").select("g", "span", "n", "leader", (F.col("least") == 1).alias("open")))
+            grams = rows.groupBy("g").agg(F.sum("n").alias("total"), F.min("n").alias("least")).filter("total > 1")
+            status = self.scratch.put(rows.join(grams, "g").select("g", "span", "n", "leader", (F.col("least") == 1).alias("open")))
+        if met != run:
+            self.scratch.drop(f"{self.root}/{met}")
         hits = self._postings_of([*self.batches, batch]).join(status, ["g", "span"])
         hits = self.scratch.put(hits.select("doc_id", "tkey", "lo", "hi", "n", "open", (_row_id() == F.col("leader")).alias("leads")))
         settled = hits.filter("n > 1").select("doc_id", "tkey", F.col("lo").alias("start"), (F.col("hi") + WINDOW).alias("end"))
