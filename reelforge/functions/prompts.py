@@ -50,6 +50,8 @@ MULTIPLE_CHOICE = (
 )
 NAVIGATION = "These are {count} consecutive first-person camera frames from an egocentric navigation video sequence."
 
+KITCHEN_PREFIX = "These are {n} consecutive first-person camera frames from an egocentric kitchen video. Action being performed after the last frame: {action}"
+
 
 # -- builders ----------------------------------------------------------------
 def text(*parts: str | Column) -> Column:
@@ -169,6 +171,18 @@ def navigation_prefix(n: Column, action: Column) -> Column:
     return text(filled(NAVIGATION, count=number_word(n)), " ", action)
 
 
+def kitchen_prefix(n: Column, action: Column) -> Column:
+    return filled(KITCHEN_PREFIX, n=n, action=action)
+
+
+def navigation_action_prefix(n: Column, action: Column) -> Column:
+    return text(filled(NAVIGATION, count=number_word(n)), " Action to execute from the last frame: ", action)
+
+
+def video_prefix(caption: Column) -> Column:
+    return text("Video description: ", F.regexp_replace(caption, r"\A\s+|\s+\z", ""))
+
+
 def labelled_parts(response: Column) -> tuple[Column, Column]:
     """(progression, next frame) of a labelling response, null unless both are there."""
     first = squeeze(F.regexp_extract(response, r"(?s)Progression:\s*(.*?)(?:\n+Next frame:|\z)", 1))

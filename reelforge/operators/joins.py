@@ -38,6 +38,13 @@ def split_by_label(rows: DataFrame, labels: DataFrame, key: str, ok: str, ordina
     return joined.filter(usable), joined.filter(~usable).select(key)
 
 
+def downloaded(rows: DataFrame, status: str = "status", path: str | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """Rows whose download is marked a success and, if a listing is given, whose
+    file is in it.  A null status is no success."""
+    done = rows.filter(F.col(status) == "success")
+    return done if existing is None else done.join(existing.select(F.col("path").alias(path)), path, "left_semi")
+
+
 def drop_missing_paths(rows: DataFrame, identity: str, paths: list[str], existing: DataFrame) -> DataFrame:
     """Rows all of whose paths exist (null paths are fine).
 

@@ -19,6 +19,16 @@ MARKER_TOLERANCE = 14.0
 RADIUS_FACTORS = {"circle": 1.0, "square": 2.0**0.5, "triangle": 2.0**0.5, "star": 2.0**0.5, "rectangle": ((0.75) ** 2 + (0.5) ** 2) ** 0.5 * 1.1}
 
 
+#: Areas in pixels: less is debris, then a marker, from the second on a shape.
+MARKER_LEAST, SHAPE_LEAST = 30.0, 600.0
+
+
+def by_area(objects: DataFrame, marker_least: float = MARKER_LEAST, shape_least: float = SHAPE_LEAST) -> DataFrame:
+    """Objects that aren't debris, with ``kind``: marker or shape.  A null area is debris."""
+    found = objects.filter(F.col("area") >= marker_least)
+    return found.withColumn("kind", F.when(F.col("area") >= shape_least, "shape").otherwise("marker"))
+
+
 def of_role(objects: DataFrame, role: str, prefix: str) -> DataFrame:
     """Objects of a role as one struct column."""
     return objects.filter(F.col("role") == role).select("image_id", F.struct("idx", "x", "y", "area", "lab", "shape").alias(prefix))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -110,3 +110,19 @@ def needed_frames(windows: DataFrame, clip: str, *frames: str) -> DataFrame:
     types = dict(windows.dtypes)
     listed = F.concat(*[F.col(c) if types[c].startswith("array") else F.array(F.col(c)) for c in frames])
     return windows.select(clip, F.explode(listed).alias("frame")).distinct()
+
+
+def with_first(records: DataFrame, task: str, order: str, *columns: str) -> DataFrame:
+    """Per task the columns of its first record (its category, its domain)."""
+    return records.groupBy(task).agg(*[F.min_by(c, order).alias(c) for c in columns])
+
+
+def distinct_groups(rows: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """How many different source groups the rows of each key use; nulls don't count."""
+    return rows.groupBy(*keys).agg(F.count_distinct(group).alias("n_groups"))
+
+
+def ranked_tasks(tasks: DataFrame, domain: str, task: str, mean: str) -> DataFrame:
+    """Place of each task in its domain, the highest mean first; no mean counts as 0."""
+    place = F.row_number().over(Window.partitionBy(domain).orderBy(F.desc(F.coalesce(F.col(mean), F.lit(0.0))), task))
+    return tasks.withColumn("place", place)

@@ -31,7 +31,7 @@ CELLS = {"TL": (138, 138, 110, 110), "TR": (263, 138, 110, 110), "BL": (138, 263
 ARM_REACH, ARM_BAND = 8, (0.28, 0.72)
 JUNCTIONS = (("TL", "E", "TR", "W"), ("BL", "E", "BR", "W"), ("TL", "S", "BL", "N"), ("TR", "S", "BR", "N"))
 OUTWARD = {"TL": "NW", "TR": "NE", "BL": "SW", "BR": "SE"}
-MARKER_AREA = 600.0
+DEBRIS_AREA, MARKER_AREA = 30.0, 600.0
 ON_TARGET, ALIGNED = 0.60, (0.20, 0.80)  # parts of an object's side
 TURN_BAND, RIGID_BAND, IDENTITY_BAND = (8.0, 45.0), (0.20, 0.45), (0.55, 0.80)
 POLYGON_AREA, OUTLINE_WEIGHT = 300, 0.25
@@ -137,7 +137,7 @@ def geometric_transformation(before: np.ndarray, candidate: np.ndarray, referenc
 
 
 def _objects(image: np.ndarray) -> tuple[list[I.Region], list[I.Region]]:
-    found = I.regions(image, I.coloured(image))
+    found = I.regions(image, I.coloured(image), DEBRIS_AREA)
     return [r for r in found if r.area >= MARKER_AREA], [r for r in found if r.area < MARKER_AREA]
 
 

@@ -58,3 +58,8 @@ def unused_combinations(used: DataFrame, *values: DataFrame) -> DataFrame:
 def quantised(values: Column, step: float = 5.0) -> Column:
     """Numbers rounded to a grid and sorted, as a signature."""
     return F.array_join(F.array_sort(F.transform(values, lambda v: (F.bround(v / step) * step).cast("long"))).cast("array<string>"), ",")
+
+
+def names_only_in(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The distinct names of ``a`` that ``b`` lacks."""
+    return a.select(key).subtract(b.select(key))

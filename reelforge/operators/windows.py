@@ -23,6 +23,11 @@ def long_enough(clips: DataFrame, context: int, horizon: int) -> DataFrame:
     return clips.filter(F.col("duration_sec") >= (context - 1 + horizon) / F.col("fps"))
 
 
+def eligible(clips: DataFrame, moves: DataFrame) -> DataFrame:
+    """Clips that have at least one window."""
+    return clips.join(moves.select("clip_id"), "clip_id", "left_semi")
+
+
 def grid_windows(clips: DataFrame, context: int = 3, horizon: int = 2, stride: int = 2, sample_fps: float = 2.0, anchor: str = "last") -> DataFrame:
     """One row for each window of a clip: context frames, then a target.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -157,6 +158,18 @@ def existing_only(merged: DataFrame, existing: DataFrame, key: str) -> DataFrame
     return sets.renumber(kept.withColumnRenamed("id", "_merged"), F.length("_merged"), "_merged", key=key).drop("_merged")
 
 
+def caption_prefixes(setting: DataFrame, source: str, manifest: DataFrame, extract: Callable[[DataFrame], Column], ordinal: str | None = None) -> DataFrame:
+    """id, context_paths, caption_prefix for the rows of one source.
+
+    A row's images are looked up among the manifest's context paths, where the
+    last entry wins; ``extract`` builds the prefix from the manifest.  A row
+    without an entry is an error.
+    """
+    wanted = setting.filter(F.col("source") == source).select("id", F.col("image").alias("context_paths"))
+    table = manifest.select("context_paths", extract(manifest).alias("caption_prefix"), *([ordinal] if ordinal else []))
+    return joins.lookup(wanted, table, ["context_paths"], ordinal)
+
+
 def progression_inputs(setting: DataFrame, prefixes: DataFrame, ordinal: str) -> tuple[DataFrame, DataFrame]:
     """(skeleton rows, labelling manifest); fails if a row has no caption prefix.
 
