@@ -2,7 +2,10 @@
 
 DataFrame operations only.  Blocks of equally many words are dealt to sources by
 the highest quotients target / (2k + 1), then in the same way to the shards of
-each source by shard / (2k + 1), which gives every shard an integer quota.  A
+each source by shard / (2k + 1), which gives every shard an integer quota.
+Sources whose target has fewer than ``LEAST_BLOCKS`` such blocks are dealt smaller
+ones (a power of two of words, down to one), each size of block among its sources,
+so that a long tail of small sources stays in the mix of a large table.  A
 shard lays its documents on a line in seeded order, cut into blocks; a quota of
 several lines takes whole passes, and its rest the blocks that come first in a
 seeded order.
@@ -22,6 +25,8 @@ from .common import WORD, Scratch, fresh, prepare, text_key
 #: The mix has about this many blocks, of at most MOST_WORDS words.
 BLOCKS = 100_000
 MOST_WORDS = 4096
+#: A source's target has this many blocks or more, or blocks of one word.
+LEAST_BLOCKS = 64
 #: Documents for each shard, and shards of one source at most.
 SHARD_DOCS = 2000
 MOST_SHARDS = 4096
@@ -99,8 +104,11 @@ def _dealt(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, s
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     aimed = targets(sources, weights, share, most)
     aimed = aimed.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(MOST_WORDS), F.floor(F.col("total") / BLOCKS))).cast("long"))
-    aimed = aimed.withColumn("blocks", F.round(F.col("total") / F.col("block")).cast("long")).withColumn("one", F.lit(0))
-    dealt = seats(aimed, "target", "blocks", ["one"], "sid").withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("docs") / SHARD_DOCS))).cast("int"))
+    fine = F.expr(f"shiftleft(1L, length(bin(greatest(1L, cast(floor(target / {LEAST_BLOCKS}) as bigint)))) - 1)")
+    aimed = aimed.withColumn("block", F.when(F.col("target") < F.col("block") * LEAST_BLOCKS, fine).otherwise(F.col("block")))
+    words = F.sum(F.round(F.col("target") * 1024).cast("long")).over(Window.partitionBy("block")) / 1024  # whole numbers, in any order
+    aimed = aimed.withColumn("blocks", F.round(words / F.col("block")).cast("long"))
+    dealt = seats(aimed, "target", "blocks", ["block"], "sid").withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("docs") / SHARD_DOCS))).cast("int"))
     dealt = scratch.put(dealt.select("sid", "source", "source_size", "target", "block", "seats", "shards"))
 
     seeded = drawn(f"{seed}:", "doc_id")

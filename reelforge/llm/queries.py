@@ -106,9 +106,10 @@ src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS doc
 w AS (SELECT *, [5, 2, 1][(sid - 1) % 3 + 1] AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM src),
 o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
 c AS (SELECT *, cap * rest <= (total - before) * weight AS capped FROM o),
-t AS (SELECT *, CASE WHEN capped THEN cap::DOUBLE ELSE (weight * (total - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0)))::DOUBLE / sum(CASE WHEN NOT capped THEN weight END) OVER () END AS target, CAST(greatest(1, least(4096, total // 100000)) AS BIGINT) AS b FROM c),
-m AS (SELECT *, CAST(round(total / b) AS BIGINT) AS blocks, CAST(greatest(1, least(4096, ceil(docs / 2000.0))) AS INT) AS shards FROM t),
-q AS (SELECT sid, blocks, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, sid, k) AS r FROM (SELECT *, unnest(range(0, CAST(2 * target / b AS BIGINT) + 60)) AS k FROM m WHERE target > 0)),
+t AS (SELECT *, CASE WHEN capped THEN cap::DOUBLE ELSE (weight * (total - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0)))::DOUBLE / sum(CASE WHEN NOT capped THEN weight END) OVER () END AS target, CAST(greatest(1, least(4096, total // 100000)) AS BIGINT) AS common FROM c),
+u AS (SELECT *, CASE WHEN target < common * 64 THEN 1::BIGINT << (length(bin(greatest(1, CAST(floor(target / 64) AS BIGINT)))) - 1) ELSE common END AS b FROM t),
+m AS (SELECT *, CAST(round(sum(CAST(round(target * 1024) AS BIGINT)) OVER (PARTITION BY b) / 1024 / b) AS BIGINT) AS blocks, CAST(greatest(1, least(4096, ceil(docs / 2000.0))) AS INT) AS shards FROM u),
+q AS (SELECT sid, blocks, row_number() OVER (PARTITION BY b ORDER BY target / (2 * k + 1) DESC, sid, k) AS r FROM (SELECT *, unnest(range(0, CAST(2 * target / b AS BIGINT) + 60)) AS k FROM m WHERE target > 0)),
 seats AS (SELECT sid, count(*) AS seats FROM q WHERE r <= blocks GROUP BY sid),
 placed AS (SELECT m.sid, CAST(('0x' || substring(md5('42:shard:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT % shards AS INT) AS shard, doc_id, size, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source),
 cells AS (SELECT p.sid, shard, CAST(sum(size) AS BIGINT) AS words, any_value(m.b) AS b, any_value(source_size) AS source_size, any_value(target) AS target, any_value(coalesce(seats, 0)) AS source_seats FROM placed p JOIN m ON p.sid = m.sid LEFT JOIN seats s ON p.sid = s.sid GROUP BY p.sid, shard),

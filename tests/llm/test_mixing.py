@@ -1,7 +1,10 @@
 import random
 import re
 
+import duckdb
+
 from reelforge.llm import mixing
+from reelforge.llm.queries import ORACLES, op6_mixing
 
 SCHEMA = "doc_id long, text string, source string, seats int"
 
@@ -127,3 +130,29 @@ def test_mixed_keeps_clashing_columns_and_texts_of_one_id(spark):
     aim = brute_targets({s: sum(len(t.split()) for _, t, source, *_ in rows if source == s) for s in ("a", None)})
     assert all(abs(words[s] - aim[s]) <= 30 for s in words)
     assert any(taken.get(i, 0) != taken.get(i + 1, 0) for i in range(0, 400, 2))  # texts of one id are dealt apart
+
+
+def test_small_sources_of_a_large_table(spark, tmp_path):
+    """Targets far below a common block are met too, and SQL gives the same mix."""
+    rng = random.Random(10)
+    rows = [(i, "w " * 20_000, "hot", 0) for i in range(150)] + [(500 + i, "w " * 6_000, "warm", 0) for i in range(30)]
+    for source, docs, words in (("a", 1, 1), ("b", 3, 2), ("c", 5, 9), ("d", 9, 15), ("e", 40, 12), ("f", 60, 40), (None, 90, 99), ("none", 2, 0)):
+        rows += [(len(rows) + 1000 + k, "w " * (words + k % 2 * words), source, 0) for k in range(docs)]
+    rng.shuffle(rows)
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(path)
+    got = [tuple(r) for r in op6_mixing(spark, str(tmp_path)).collect()]
+    source_of, sizes, taken = {}, {}, {}
+    for doc, text, source, _ in rows:
+        source_of[doc] = source
+        sizes[source] = sizes.get(source, 0) + len(text) // 2
+    for doc, size, _, _, t in got:
+        assert t <= 3 * size
+        taken[source_of[doc]] = taken.get(source_of[doc], 0) + t
+    assert sum(sizes.values()) // mixing.BLOCKS > 20
+    for source, aim in brute_targets(sizes).items():
+        assert abs(taken[source] - aim) <= max(1, 0.04 * aim), (source, taken[source], aim)
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = base.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({ORACLES['op6_mixing']})").fetchall()
+    assert sorted((d, n, s, round(t, 6), k) for d, n, s, t, k in got) == sorted((d, n, s, round(t, 6), k) for d, n, s, t, k in want)
