@@ -17,6 +17,8 @@ For each encoding and band of lengths, the number of truly random runs is twice
 that of runs with p above one half; the least threshold t is taken at which the
 expected share of others among the runs with p >= t is within ``discovery``.
 Short runs mix more with identifiers and so get a stricter threshold, or none.
+The longest part of a run between '/', '_' and '-' is tested too; the run is reported
+if either passes, so that a key behind a path is found (together with the path).
 """
 
 from __future__ import annotations
@@ -115,6 +117,11 @@ def _battery() -> str:
     return f"if(t.match rlike '[0-9]' and t.match rlike '[A-Za-z]' and length(rtrim('=', t.match)) >= 20, {p}, null)"
 
 
+#: SQL for the longest part of a run ``t`` that is long enough (the first of equals), else null.
+PART = """transform(array(array_max(transform(split(t.match, '[/_-]'), (p, i) -> named_struct('n', length(p), 'early', -i, 'p', p)))),
+    x -> if(x.n >= 20 and x.n < length(t.match), named_struct('start', t.start + locate(x.p, t.match) - 1, 'end', t.start + locate(x.p, t.match) - 1 + x.n, 'match', x.p), null))[0]"""
+
+
 def scan(docs: DataFrame, discovery: float = 0.1) -> DataFrame:
     """doc_id, base and random: arrays of struct<start, end, kind, ...>.
 
@@ -131,13 +138,14 @@ def scan(docs: DataFrame, discovery: float = 0.1) -> DataFrame:
         _pieces(RUN).alias("_run"),
     ).select("doc_id", *[_spans(f"_{k}").alias(k) for k in ("assign", "access", "hex", "run")])
     value = F.expr("filter(assign, t -> length(regexp_extract(t.match, r'%s', 2)) >= 6)" % ASSIGN.replace("'", "\\x27"))
+    tested = f"if(t is null, null, named_struct('start', t.start, 'end', t.end, 'test', {_battery()}))"
     staged = Scratch(spark, "secrets").put(
         found.select(
             "doc_id",
             value.alias("assign"),
             F.expr("filter(access, t -> length(t.match) >= 20)").alias("access"),
             "hex",
-            F.expr(f"filter(transform(run, t -> named_struct('start', t.start, 'end', t.end, 'test', {_battery()})), t -> t.test is not null)").alias("run"),
+            F.expr(f"filter(transform(run, r -> transform(array(r, {PART.replace('t.', 'r.')}), t -> {tested})), r -> r[0].test is not null or r[1].test is not null)").alias("run"),
         )
     )
     limits = thresholds(staged, discovery)
@@ -152,17 +160,20 @@ def scan(docs: DataFrame, discovery: float = 0.1) -> DataFrame:
         return F.transform(column, lambda t: F.struct(t["start"].alias("start"), F.lit(order).alias("order"), t["end"].alias("end"), F.lit(kind).alias("kind")))
 
     base = F.array_sort(F.concat(named("assign", "assign", 0), named("access", "access", 1), named("hex", "hex", 2)))
-    random = F.filter("run", lambda t: t["test"]["p"] >= limit(t))
+    random = F.transform(F.filter("run", lambda r: F.exists(r, lambda t: t["test"]["p"] >= limit(t))), lambda r: r[0])
     return staged.withColumn("_random", random).select("doc_id", base.alias("base"), named("_random", "random", 3).alias("random"))
 
 
 def thresholds(staged: DataFrame, discovery: float) -> dict[tuple[str, int], float]:
-    """Least p per encoding and band; from counts of at most 6 x 5 x 51 cells."""
+    """Least p per encoding and band; from counts of at most 6 x 5 x 51 cells.
+
+    Runs and their parts count alike.
+    """
     size = F.col("t.end") - F.col("t.start")
     band = F.lit(BANDS[0])
     for b in BANDS[1:]:
         band = F.when(size >= b, b).otherwise(band)
-    runs = staged.select(F.explode("run").alias("t"))
+    runs = staged.select(F.explode(F.flatten("run")).alias("t")).filter("t.test is not null")
     cells = runs.groupBy(F.col("t.test.encoding").alias("encoding"), band.alias("band"), F.floor(F.col("t.test.p") * STEPS).cast("int").alias("step")).agg(F.count("*").alias("n"))
     counts: dict[tuple[str, int], dict[int, int]] = {}
     for r in cells.collect():

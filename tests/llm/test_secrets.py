@@ -90,6 +90,22 @@ def test_names_before_equals_signs_are_apart(spark):
     assert sum(any((s.start, s.end) == (20, 69) for s in r.random) for r in got) >= 180
 
 
+def test_keys_behind_paths(spark):
+    """The longest part between separators is tested where the whole run fails."""
+    rng = random.Random(8)
+    secret = ["".join(rng.choices(ALPHABETS["b62"], k=48)) for _ in range(300)]
+    texts = [f"{('/srv/deploy/hooks/', '/opt/service_account_key/', 'deploy-hook-prod-')[i % 3]}{s}{('', '==', '/latest')[i // 3 % 3]}" for i, s in enumerate(secret)]
+    names = ["/".join(rng.choices(NAME_WORDS, k=9)) + str(rng.randint(1, 9)) for _ in range(300)]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts + names)), "doc_id long, text string")).collect()
+    hit = 0
+    for r in got:
+        assert len(r.random) <= 1
+        for s in r.random:
+            if r.doc_id < 300:
+                hit += secret[r.doc_id] in texts[r.doc_id][s.start : s.end]
+    assert hit >= 270 and sum(bool(r.random) for r in got if r.doc_id >= 300) <= 30
+
+
 def test_very_many_matches(spark):
     """Linear in the matches of one text."""
     text = " ".join(f"{i:024x}" for i in range(20_000))
