@@ -138,11 +138,16 @@ def overall(parts: Column, weights: dict[str, float]) -> Column:
 
 
 def pearson(x: str, y: str) -> Column:
-    """Correlation of a group as an aggregate; null without variance."""
+    """Correlation of a group as an aggregate; null without variance.
+
+    Constants are told by their extremes: a variance merged from partitions may
+    be slightly above 0 for them.
+    """
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
+    flat = (F.max(a) - F.min(a) == 0.0) | (F.max(b) - F.min(b) == 0.0)
     spread = F.sqrt(F.var_pop(a) * F.var_pop(b))
-    return F.try_divide(F.covar_pop(a, b), F.nullif(spread, F.lit(0.0)))
+    return F.when(~flat, F.try_divide(F.covar_pop(a, b), F.nullif(spread, F.lit(0.0))))
 
 
 def average_rank(value: str, *groups: str) -> Column:

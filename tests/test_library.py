@@ -142,6 +142,16 @@ def test_statistics_without_variance(spark):
     assert reports.summary(frame.filter("g = 'b'"), "g", "y").filter("not is_total").first().mean_score is None
 
 
+def test_no_correlation_with_a_constant_in_parts(spark):
+    # merging the parts' moments leaves a variance of 3e-33: (1 / 103) * 103 is below 1
+    x = (F.col("id") % 7).cast("double").alias("x")
+    frame = spark.range(0, 206, 1, 2).select(F.lit("a").alias("g"), x, F.lit(1.0).alias("one"), (F.col("id") % 5).cast("double").alias("y"))
+    got = frame.agg(S.pearson("x", "one").alias("right"), S.pearson("one", "x").alias("left"), S.pearson("x", "y").alias("both"), S.pearson("x", "x").alias("own")).first()
+    assert got.right is None and got.left is None
+    assert got.both is not None and abs(got.own - 1.0) < 1e-12
+    assert S.spearman(frame, ["g"], "x", "one").first().spearman is None
+
+
 def test_directions_and_prompts(spark):
     anchors = spark.createDataFrame([("e", ["0", "1", "2"], ["9", "3"], 1, " pour ")], "example_id string, context_paths array<string>, candidate_paths array<string>, answer_index int, caption string")
     back = rows.generation_rows(anchors, "backward", caption="caption", setting="S2").first()
